@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axiomata.llm import simhash, warc
+from axiomata.llm import decontam, langid, mixing, quality, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,57 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def vocab(name: str) -> str:
+    """The place of a public vocabulary file; the files are never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def crc_mod(key: str, n: int):
+    """crc32 of an id as text, modulo n."""
+    return F.crc32(F.col(key).cast("string")) % n
+
+
+@_query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, within 20 % word edits."""
+    found = decontam.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", "n_words", "at")
+
+
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the rows that are not held out."""
+    docs = _docs(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod("doc_id", 5) != 0))
+    out = quality.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@_query
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of every document."""
+    return tokens.token_counts(_docs(spark, sf_dir), vocab("word_bpe_49k.json"), 2048).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = _docs(spark, sf_dir)
+    model = langid.fit(docs.filter(crc_mod("doc_id", 4) != 2), vocab("piece_bpe_32k.model"))
+    out = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document that bring each source to its target."""
+    found = mixing.mix(spark, _docs(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
