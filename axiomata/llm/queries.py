@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axiomata.llm import decontam, langid, mixing, quality, simhash, tokens, warc
+from axiomata.llm import ann, decontam, langid, licenses, lmscore, mixing, quality, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,22 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document that bring each source to its target."""
     found = mixing.mix(spark, _docs(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
+@_query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice of every document with its family."""
+    return licenses.scan(_docs(spark, sf_dir), licenses.train()).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every 20th vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(spark, vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@_query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-parsing scores of every document."""
+    return lmscore.lm_scores(spark, _docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
