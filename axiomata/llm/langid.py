@@ -239,3 +239,28 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text is identified with a posterior of ``least`` or more.
+
+    Rows are judged in place, one by one, so nothing is shuffled and repeated
+    rows stay repeated.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(held.value)
+        for batch in batches:
+            part, size, keep = [], 0, []
+            for t in batch.column(at):
+                part.append(t.as_py())
+                size += len(part[-1] or "")
+                if size > 1 << 20:
+                    keep += [a != "und" and b >= least for a, b in scorer.score(part)]
+                    part, size = [], 0
+            keep += [a != "und" and b >= least for a, b in scorer.score(part)] if part else []
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
