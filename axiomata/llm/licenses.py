@@ -187,8 +187,12 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.6, similar: floa
     cue = lambda c: functools.reduce(operator.or_, [c.contains(x) for x in CUES])
     lines = docs.filter(cue(lower)).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "notice"))
     lines = lines.filter(cue(F.lower("notice"))).withColumn("words", F.regexp_extract_all(F.lower("notice"), F.lit(_WORD), 0))
-    grams = [F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i, n=n: F.array_join(F.slice("words", i, n), " ")) for n in (1, 2, 3)]
-    grams = [F.when(F.size("words") >= n, g).otherwise(F.array().cast("array<string>")) for n, g in zip((1, 2, 3), grams)]
+
+    def grams_of(n: int):
+        own = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
+        return F.when(F.size("words") >= n, own).otherwise(F.array().cast("array<string>"))
+
+    grams = [grams_of(n) for n in (1, 2, 3)]
     buckets = F.array_distinct(F.transform(F.concat(*grams), lambda g: F.crc32(g.cast("binary")) % BUCKETS))
     lines = lines.withColumn("buckets", buckets)
     # per bucket the weights of all families, so one pass over the buckets sums them all

@@ -131,8 +131,12 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, d
         margin += 0.3 * value
         rules.update(dict.fromkeys(paths))
     rules = list(rules)
+    if not rules:  # too few rows for any split
+        return RuleModel(names, intercept)
     z = np.stack([_holds(r, x) for r in rules], 1).astype(float)
     keep = np.flatnonzero((z.mean(0) > 0) & (z.mean(0) < 1))
+    if not len(keep):
+        return RuleModel(names, intercept)
     _, first = np.unique(z[:, keep], axis=1, return_index=True)  # rules that hold for the same rows: one of them
     keep = keep[np.sort(first)]
     z, rules = z[:, keep], [rules[i] for i in keep]
