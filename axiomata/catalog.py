@@ -1,15 +1,613 @@
-"""Queries of the ontology operators over ontologies derived from the driver's tables."""
+"""Queries of the ontology operators over ontologies derived from the driver's tables.
+
+Every query comes with DuckDB SQL that states the same result over the same tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from axiomata.functions import names
+from axiomata.functions import terms as t
+from axiomata.functions.terms import cat
+from axiomata.model import Ontology
+from axiomata.operators import asserted, diff, el, icv, lint, profiles, shapes, vocabulary
+from axiomata.plans.fixpoint import components
+from axiomata.sources import ofn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+U = "urn:x:"
+
+
+def query(sql: str | None = None):
+    """Register a query, with its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def iri(kind: str, c: str | Column) -> Column:
+    """``urn:x:kind/value``."""
+    c = F.col(c) if isinstance(c, str) else c
+    return cat(f"{U}{kind}/", c.cast("string"))
+
+
+def cls(kind: str, c) -> t.Term:
+    return t.cls(iri(kind, c))
+
+
+def ind(kind: str, c) -> t.Term:
+    return t.ind(iri(kind, c))
+
+
+def _p(name: str) -> t.Term:
+    return t.obj(f"{U}{name}")
+
+
+def _id() -> Column:
+    return F.monotonically_increasing_id()
+
+
+STEP = 1 << 50  # parts are numbered apart; ids of any part stay below
+
+
+def places(spark: SparkSession, d: str) -> Ontology:
+    """supplier < nation < region."""
+    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
+    a = Ontology.from_columns(nation, F.col("n_nationkey"), t.make("SubClassOf", cls("nation", "n_nationkey"), cls("region", "n_regionkey")))
+    b = Ontology.from_columns(supplier, F.col("s_suppkey"), t.make("SubClassOf", cls("supplier", "s_suppkey"), cls("nation", "s_nationkey")))
+    return a.add(b, step=STEP)
+
+
+def halving(spark: SparkSession, d: str, term=None) -> Ontology:
+    """Each part below the part of half its key."""
+    part = table(spark, d, "part").filter("p_partkey > 0")
+    half = F.floor(F.col("p_partkey") / 2).cast("long")
+    return Ontology.from_columns(part, F.col("p_partkey"), term or t.make("SubClassOf", cls("part", "p_partkey"), cls("part", half)))
+
+
+def ring(spark: SparkSession, d: str) -> Ontology:
+    """The nations of a region and the suppliers of a nation, each below the next, the last below the first."""
+    from pyspark.sql import Window
+
+    def one(df: DataFrame, kind: str, key: str, group: str) -> Ontology:
+        w = Window.partitionBy(group).orderBy(key)  # groups are regions and nations
+        nxt = df.withColumn("nxt", F.coalesce(F.lead(key).over(w), F.first(key).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+        return Ontology.from_columns(nxt, F.col(key), t.make("SubClassOf", cls(kind, key), cls(kind, "nxt")))
+
+    return one(table(spark, d, "nation"), "nation", "n_nationkey", "n_regionkey").add(one(table(spark, d, "supplier"), "supplier", "s_suppkey", "s_nationkey"), step=STEP)
+
+
+_PLACES = f"""e AS (SELECT '{U}nation/' || n_nationkey AS sub, '{U}region/' || n_regionkey AS super FROM nation
+  UNION SELECT '{U}supplier/' || s_suppkey, '{U}nation/' || s_nationkey FROM supplier)"""
+_CLOSURE = "c AS (SELECT sub, super FROM e UNION SELECT c.sub, e.super FROM c JOIN e ON c.super = e.sub)"
+_HALF = f"e AS (SELECT '{U}part/' || p_partkey AS sub, '{U}part/' || (p_partkey // 2) AS super FROM part WHERE p_partkey > 0)"
+_RING = f"""r AS (SELECT 'nation' AS k, n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS g FROM nation UNION ALL SELECT 'supplier', s_suppkey, s_nationkey FROM supplier),
+e AS (SELECT '{U}' || k || '/' || id AS sub, '{U}' || k || '/' || coalesce(lead(id) OVER (PARTITION BY k, g ORDER BY id), min(id) OVER (PARTITION BY k, g)) AS super FROM r)"""
+
+
+# --- signature and hierarchy ----------------------------------------------
+
+
+def catalogue(spark: SparkSession, d: str) -> Ontology:
+    """Brands below types, suppliers in nations, nations below regions."""
+    a = Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), t.make("SubClassOf", cls("brand", "p_brand"), cls("type", "p_type")))
+    b = Ontology.from_columns(table(spark, d, "supplier"), F.col("s_suppkey"), t.make("ClassAssertion", cls("nation", "s_nationkey"), ind("supplier", "s_suppkey")))
+    c = Ontology.from_columns(table(spark, d, "nation"), F.col("n_nationkey"), t.make("SubClassOf", cls("nation", "n_nationkey"), cls("region", "n_regionkey")))
+    return a.add(b, c, step=STEP)
+
+
+_SIGNATURE = f"""SELECT 0 AS kind, '{U}brand/' || p_brand AS iri FROM part UNION SELECT 0, '{U}type/' || p_type FROM part
+UNION SELECT 0, '{U}nation/' || s_nationkey FROM supplier UNION SELECT 0, '{U}nation/' || n_nationkey FROM nation
+UNION SELECT 0, '{U}region/' || n_regionkey FROM nation UNION SELECT 5, '{U}supplier/' || s_suppkey FROM supplier"""
+
+
+@query(_SIGNATURE)
+def signature(spark, d):
+    return catalogue(spark, d).signature()
+
+
+@query(f"""SELECT 'axioms' AS measure, (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) AS n
+UNION ALL SELECT CASE kind WHEN 0 THEN 'Class' ELSE 'NamedIndividual' END, count(*) FROM ({_SIGNATURE}) GROUP BY kind""")
+def stats_counts(spark, d):
+    return asserted.statistics(catalogue(spark, d))
+
+
+@query("SELECT 'SubClassOf' AS kind, (SELECT count(*) FROM part) + (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'ClassAssertion', count(*) FROM supplier")
+def stats_axiom_kinds(spark, d):
+    return asserted.axiom_kinds(catalogue(spark, d))
+
+
+@query(f"WITH {_PLACES} SELECT sub, super FROM e")
+def super_classes(spark, d):
+    return asserted.super_classes(places(spark, d))
+
+
+@query(f"WITH {_PLACES} SELECT super, count(*) AS n FROM e GROUP BY super")
+def sub_classes(spark, d):
+    return asserted.sub_classes(places(spark, d)).groupBy("super").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {_PLACES}, {_CLOSURE} SELECT sub AS cls, super AS ancestor FROM c WHERE sub <> super")
+def ancestors(spark, d):
+    return asserted.ancestors(places(spark, d))
+
+
+@query(f"WITH RECURSIVE {_HALF}, {_CLOSURE} SELECT sub AS cls, super AS ancestor FROM c WHERE sub <> super")
+def ancestors_deep(spark, d):
+    return asserted.ancestors(halving(spark, d))
+
+
+@query(f"WITH RECURSIVE {_RING}, {_CLOSURE} SELECT sub AS cls, super AS ancestor FROM c WHERE sub <> super")
+def ancestors_cyclic(spark, d):
+    return asserted.ancestors(ring(spark, d))
+
+
+@query(f"WITH RECURSIVE {_PLACES}, {_CLOSURE} SELECT super AS cls, sub AS descendant FROM c WHERE super LIKE '{U}region/%'")
+def descendants(spark, d):
+    o = places(spark, d)
+    regions = table(spark, d, "region").select(iri("region", "r_regionkey").alias("cls"))
+    return asserted.descendants(o, regions)
+
+
+@query(f"WITH e AS (SELECT DISTINCT '{U}brand/' || p_brand AS a, '{U}type/' || p_type AS b FROM part) SELECT a AS sub, b AS super FROM e UNION SELECT b, a FROM e")
+def equivalent_steps(spark, d):
+    o = Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), t.make("EquivalentClasses", cls("brand", "p_brand"), cls("type", "p_type")))
+    return asserted.hierarchy(o)
+
+
+# --- look-ups -------------------------------------------------------------
+
+
+def order_types(spark: SparkSession, d: str) -> Ontology:
+    return Ontology.from_columns(table(spark, d, "orders"), F.col("o_orderkey"), t.make("ClassAssertion", cls("status", "o_orderstatus"), ind("order", "o_orderkey")))
+
+
+@query(f"SELECT '{U}order/' || o_orderkey AS individual, '<{U}status/' || o_orderstatus || '>' AS type FROM orders")
+def types_of(spark, d):
+    return asserted.types(order_types(spark, d)).select("individual", "type")
+
+
+@query(f"SELECT DISTINCT '{U}order/' || o_orderkey AS individual FROM orders WHERE o_orderstatus = 'F'")
+def instances_of(spark, d):
+    return asserted.instances(order_types(spark, d), f"<{U}status/F>")
+
+
+@query(f"SELECT '{U}order/' || o_orderkey AS subject, '<{U}placedBy>' AS property, '{U}customer/' || o_custkey AS object FROM orders")
+def object_values(spark, d):
+    o = Ontology.from_columns(table(spark, d, "orders"), F.col("o_orderkey"), t.make("ObjectPropertyAssertion", _p("placedBy"), ind("order", "o_orderkey"), ind("customer", "o_custkey")))
+    return asserted.object_values(o).select("subject", "property", "object")
+
+
+@query(f"SELECT '{U}part/' || p_partkey AS subject, '{U}size' AS property, p_size::VARCHAR AS value, '{t.XSD}integer' AS datatype FROM part")
+def data_values(spark, d):
+    value = t.literal(F.col("p_size").cast("string"), f"{t.XSD}integer")
+    o = Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), t.make("DataPropertyAssertion", t.dat(f"{U}size"), ind("part", "p_partkey"), value))
+    return asserted.data_values(o).select("subject", "property", "value", "datatype")
+
+
+def brand_labels(spark: SparkSession, d: str) -> Ontology:
+    return Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), t.make("AnnotationAssertion", t.ann(f"{t.RDFS}label"), t.bare(iri("brand", "p_brand")), t.literal(F.col("p_name"), lang="en")))
+
+
+@query(f"SELECT '{U}brand/' || p_brand AS iri, arg_min(p_name, p_partkey) AS text FROM part GROUP BY p_brand")
+def first_label(spark, d):
+    return asserted.labels(brand_labels(spark, d))
+
+
+@query(f"""SELECT s_suppkey AS idx, 0 AS kind, '{U}nation/' || s_nationkey AS iri FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = (SELECT min(r_name) FROM region)""")
+def axioms_referencing(spark, d):
+    o = Ontology.from_columns(table(spark, d, "supplier"), F.col("s_suppkey"), t.make("ClassAssertion", cls("nation", "s_nationkey"), ind("supplier", "s_suppkey")))
+    first = table(spark, d, "region").orderBy("r_name").limit(1)
+    asked = table(spark, d, "nation").join(F.broadcast(first), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit(0).alias("kind"), iri("nation", "n_nationkey").alias("iri"))
+    return asserted.referencing(o, asked).select("idx", "kind", "iri")
+
+
+# --- canonical form, diff -------------------------------------------------
+
+
+@query(f"""WITH x AS (SELECT '<{U}key/' || l_partkey || '>' AS a, '<{U}key/' || l_suppkey || '>' AS b FROM lineitem)
+SELECT 'DisjointClasses(' || least(a, b) || CASE WHEN a = b THEN '' ELSE ' ' || greatest(a, b) END || ')' AS canon, count(*) AS n FROM x GROUP BY ALL""")
+def canonical_pairs(spark, d):
+    o = Ontology.from_columns(table(spark, d, "lineitem"), _id(), t.make("DisjointClasses", cls("key", "l_partkey"), cls("key", "l_suppkey")))
+    return o.axioms.groupBy("canon").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH x AS (SELECT '<{U}b/' || p_brand || '>' AS b, '<{U}t/' || p_type || '>' AS ty, '<{U}s/' || p_size || '>' AS s, '<{U}part/' || p_partkey || '>' AS p FROM part)
+SELECT 'SubClassOf(' || p || ' ObjectIntersectionOf(' || b || ' ' || s || ' ' || ty || ' ObjectSomeValuesFrom(<{U}has> ' || ty || ')))' AS canon,
+  'SubClassOf(' || p || ' ObjectIntersectionOf(' || ty || ' ObjectIntersectionOf(' || s || ' ' || b || ' ' || ty || ') ObjectSomeValuesFrom(<{U}has> ObjectUnionOf(' || ty || ' ' || ty || '))))' AS text FROM x""")
+def canonical_nested(spark, d):
+    b, ty, s = cls("b", "p_brand"), cls("t", "p_type"), cls("s", "p_size")
+    e = t.conj(ty, t.conj(s, b, ty), t.some(_p("has"), t.disj(ty, ty)))
+    return Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), t.make("SubClassOf", cls("part", "p_partkey"), e)).axioms.select("canon", "text")
+
+
+def order_lines(spark: SparkSession, d: str) -> Ontology:
+    fact = t.make("ObjectPropertyAssertion", _p("hasLine"), ind("order", "l_orderkey"), ind("line", "l_linenumber"))
+    return Ontology.from_columns(table(spark, d, "lineitem"), _id(), fact)
+
+
+@query(f"""SELECT 'ObjectPropertyAssertion(<{U}hasLine> <{U}order/' || l_orderkey || '> <{U}line/' || l_linenumber || '>)' AS text, count(*) - 1 AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def duplicate_axiom(spark, d):
+    return diff.duplicates(order_lines(spark, d)).groupBy("text").agg(F.count("*").alias("n"))
+
+
+def supply(spark: SparkSession, d: str, flag: str) -> Ontology:
+    rows = table(spark, d, "lineitem").filter(F.col("l_returnflag") == flag)
+    return Ontology.from_columns(rows, _id(), t.make("ObjectPropertyAssertion", _p("by"), ind("part", "l_partkey"), ind("supplier", "l_suppkey")))
+
+
+_DIFF = """WITH a AS (SELECT l_partkey p, l_suppkey s, count(*) n FROM lineitem WHERE l_returnflag = '{0}' GROUP BY ALL), b AS (SELECT l_partkey p, l_suppkey s, count(*) n FROM lineitem WHERE l_returnflag = '{1}' GROUP BY ALL)
+SELECT 'ObjectPropertyAssertion(<urn:x:by> <urn:x:part/' || a.p || '> <urn:x:supplier/' || a.s || '>)' AS text, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (p, s) WHERE a.n > coalesce(b.n, 0)"""
+
+
+@query(_DIFF.format("A", "R"))
+def diff_removed(spark, d):
+    return diff.diff_axioms(supply(spark, d, "A"), supply(spark, d, "R"))[0].groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query(_DIFF.format("R", "A"))
+def diff_added(spark, d):
+    return diff.diff_axioms(supply(spark, d, "A"), supply(spark, d, "R"))[1].groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT 'ObjectPropertyAssertion(<{U}by> <{U}part/' || l_partkey || '> <{U}supplier/' || l_suppkey || '>)' AS text FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+def overlay(spark, d):
+    return diff.overlay(supply(spark, d, "A"), supply(spark, d, "R"), step=STEP).axioms.select("text")
+
+
+@query(f"WITH e AS (SELECT 'DisjointClasses(<{U}brand/' || p_brand || '> <{U}part/' || p_partkey || '>)' AS text FROM part) SELECT text, (row_number() OVER (ORDER BY text) - 1)::BIGINT AS idx FROM e")
+def sorted_axioms(spark, d):
+    o = Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), t.make("DisjointClasses", cls("brand", "p_brand"), cls("part", "p_partkey")))
+    return o.sort().axioms.select("text", "idx")
+
+
+# --- lint -----------------------------------------------------------------
+
+
+def _declare(df: DataFrame, idx: Column, entity: t.Term) -> Ontology:
+    return Ontology.from_columns(df, idx, t.make("Declaration", entity))
+
+
+@query(f"""WITH m AS (SELECT DISTINCT l_orderkey AS k FROM lineitem) SELECT '{U}order/' || k AS subject, 'NamedIndividual {U}order/' || k || ' has no declaration' AS message
+FROM m WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = k AND o_orderstatus = 'O')""")
+def undeclared_entity(spark, d):
+    lines = Ontology.from_columns(table(spark, d, "lineitem"), _id(), t.make("ClassAssertion", t.cls(t.THING), ind("order", "l_orderkey")))
+    known = _declare(table(spark, d, "orders").filter("o_orderstatus = 'O'"), F.col("o_orderkey"), ind("order", "o_orderkey"))
+    return lint.undeclared_entity(lines.add(known, step=STEP)).select("subject", "message")
+
+
+@query(f"""SELECT DISTINCT '{U}name/' || p_brand AS subject, '{U}name/' || p_brand || ' is at once Class, NamedIndividual' AS message FROM part WHERE p_size > 45""")
+def punned_entity(spark, d):
+    part = table(spark, d, "part")
+    a = _declare(part, F.col("p_partkey"), cls("name", "p_brand"))
+    b = _declare(part.filter("p_size > 45"), F.col("p_partkey"), ind("name", "p_brand"))
+    return lint.punned_entity(a.add(b, step=STEP)).select("subject", "message")
+
+
+@query(f"""SELECT '{U}part/' || p_partkey AS subject, 'Class {U}part/' || p_partkey || ' lacks a label' AS message FROM part WHERE p_size <= 25""")
+def missing_label(spark, d):
+    part = table(spark, d, "part")
+    a = _declare(part, F.col("p_partkey"), cls("part", "p_partkey"))
+    b = Ontology.from_columns(part.filter("p_size > 25"), F.col("p_partkey"), t.make("AnnotationAssertion", t.ann(f"{t.RDFS}label"), t.bare(iri("part", "p_partkey")), t.literal(F.col("p_name"))))
+    return lint.missing_label(a.add(b, step=STEP)).select("subject", "message")
+
+
+@query(f"""SELECT '{U}supplier/' || l_suppkey AS subject, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 0 GROUP BY l_suppkey""")
+def deprecated_reference(spark, d):
+    uses = Ontology.from_columns(table(spark, d, "lineitem"), _id(), t.make("ObjectPropertyAssertion", _p("by"), ind("part", "l_partkey"), ind("supplier", "l_suppkey")))
+    gone = table(spark, d, "supplier").filter("s_acctbal < 0")
+    marks = Ontology.from_columns(gone, F.col("s_suppkey"), t.make("AnnotationAssertion", t.ann(f"{t.OWL}deprecated"), t.bare(iri("supplier", "s_suppkey")), t.boolean(True)))
+    named = _declare(gone, F.col("s_suppkey"), ind("supplier", "s_suppkey"))
+    return lint.deprecated_reference(uses.add(marks, named, step=STEP)).groupBy("subject").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT 'equivalence of less than two classes: EquivalentClasses(<{U}key/' || l_partkey || '> <{U}key/' || l_suppkey || '>)' AS message, count(*) AS n FROM lineitem WHERE l_partkey = l_suppkey GROUP BY ALL""")
+def trivial_axiom(spark, d):
+    o = Ontology.from_columns(table(spark, d, "lineitem"), _id(), t.make("EquivalentClasses", cls("key", "l_partkey"), cls("key", "l_suppkey")))
+    return lint.trivial_axiom(o).groupBy("message").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_RING}, x AS (SELECT k, g, string_agg('<{U}' || k || '/' || id || '>', ' -> ' ORDER BY '{U}' || k || '/' || id) AS path, min('{U}' || k || '/' || id) AS subject, count(*) AS n FROM r GROUP BY k, g)
+SELECT subject, 'classes below each other: ' || path || ' -> <' || subject || '>' AS message FROM x WHERE n > 1""")
+def subclass_cycle(spark, d):
+    return lint.subclass_cycle(ring(spark, d)).select("subject", "message")
+
+
+@query(f"SELECT '{U}region/' || r_regionkey AS subject FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey)")
+def orphan_class(spark, d):
+    return lint.orphan_class(places(spark, d)).select("subject")
+
+
+@query(f"""SELECT 'orphan-class' AS rule, 0 AS severity, count(DISTINCT n_regionkey) AS n FROM nation UNION ALL
+SELECT 'undeclared-entity', 1, (SELECT count(DISTINCT n_regionkey) FROM nation) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)""")
+def lint_run(spark, d):
+    return lint.run(places(spark, d)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS fold, count(*) AS n FROM part WHERE length(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) >= 3 GROUP BY ALL""")
+def standard_terms(spark, d):
+    part = table(spark, d, "part")
+    own = _declare(part, F.col("p_partkey"), cls("own", F.concat(F.col("p_partkey").cast("string"), F.lit("/"), F.col("p_name"))))
+    refs = part.select(F.lit(0).alias("kind"), cat(f"{U}std/", F.col("p_name")).alias("iri"), F.col("p_name").alias("name"), F.lit("").alias("label")).distinct()
+    found = lint.prefer_standard_terms(refs).check(own)
+    return found.select(names.fold(names.local_name(F.col("subject"))).alias("fold")).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+# --- profiles -------------------------------------------------------------
+
+
+def mixed(spark: SparkSession, d: str) -> Ontology:
+    """Axioms and expressions in and out of the profiles."""
+    part = table(spark, d, "part")
+    p, b, ty = cls("part", "p_partkey"), cls("brand", "p_brand"), cls("type", "p_type")
+    r, thing = _p("r"), t.cls(t.THING)
+    made = [
+        t.make("SubClassOf", p, t.some(r, t.conj(b, ty))), t.make("SubClassOf", t.disj(b, ty), p), t.make("SubClassOf", p, t.cardinality("Max", 2, r, b)), t.make("SubClassOf", t.some(r, thing), t.neg(b)),
+        t.make("DisjointUnion", p, b, ty), t.make("ClassAssertion", t.one_of(ind("i", "p_size"), ind("j", "p_size")), ind("k", "p_partkey")), t.make("ObjectPropertyDomain", t.inverse(r), t.only(r, b)), t.make("EquivalentClasses", p, thing),
+    ]
+    parts = [Ontology.from_columns(part, F.col("p_partkey"), ax) for ax in made]
+    return parts[0].add(*parts[1:], step=1 << 40)
+
+
+_PER_PART = [
+    ("EL", "EL lacks ObjectUnionOf in position class", 1), ("EL", "EL lacks ObjectMaxCardinality in position class", 1), ("EL", "EL lacks ObjectComplementOf in position class", 1), ("EL", "EL lacks the axiom DisjointUnion", 1),
+    ("EL", "one element expected in ObjectOneOf, found 2", 1), ("EL", "EL lacks ObjectInverseOf in position property", 1), ("EL", "EL lacks ObjectAllValuesFrom in position class", 1),
+    ("QL", "QL lacks ObjectIntersectionOf in position named", 1), ("QL", "QL lacks ObjectUnionOf in position sub", 1), ("QL", "QL lacks ObjectMaxCardinality in position super", 1), ("QL", "QL lacks the axiom DisjointUnion", 1),
+    ("QL", "QL lacks ObjectOneOf in position named", 1), ("QL", "QL lacks ObjectAllValuesFrom in position super", 1),
+    ("RL", "RL lacks ObjectSomeValuesFrom in position super", 1), ("RL", "0 or 1 expected in ObjectMaxCardinality, found 2", 1), ("RL", "RL lacks the axiom DisjointUnion", 1), ("RL", "RL lacks ObjectOneOf in position super", 1), ("RL", "RL lacks owl:Thing here", 1),
+]
+
+
+@query("SELECT profile, reason, (SELECT count(*) FROM part) * n AS n FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in _PER_PART) + ") v(profile, reason, n)")
+def profile_violations(spark, d):
+    return profiles.check(mixed(spark, d), "EL", "QL", "RL").groupBy("profile", "reason").agg(F.count("*").alias("n"))
+
+
+def property_tree(spark: SparkSession, d: str) -> Ontology:
+    half = F.floor(F.col("p_partkey") / 2).cast("long")
+    up = halving(spark, d, t.make("SubObjectPropertyOf", t.obj(iri("p", "p_partkey")), t.obj(iri("p", half))))
+    trans = Ontology.from_columns(table(spark, d, "part").filter("p_size = 7"), F.col("p_partkey"), t.make("TransitiveObjectProperty", t.obj(iri("p", "p_partkey"))))
+    used = Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), t.make("FunctionalObjectProperty", t.inverse(t.obj(iri("p", "p_partkey")))))
+    return up.add(trans, used, step=STEP)
+
+
+_SIMPLE = "WITH RECURSIVE n AS (SELECT p_partkey AS k FROM part WHERE p_size = 7 UNION SELECT k // 2 FROM n WHERE k > 0)"
+
+
+@query(f"{_SIMPLE} SELECT DISTINCT '{U}p/' || k AS iri FROM n")
+def non_simple_properties(spark, d):
+    return profiles.non_simple(property_tree(spark, d))
+
+
+@query(f"{_SIMPLE} SELECT '{U}p/' || k || ' is not simple but used in FunctionalObjectProperty' AS reason FROM (SELECT DISTINCT k FROM n) JOIN part ON k = p_partkey")
+def profile_dl(spark, d):
+    return profiles.dl_violations(property_tree(spark, d)).select("reason")
+
+
+# --- closed-world checks --------------------------------------------------
+
+
+def order_facts(spark: SparkSession, d: str) -> Ontology:
+    orders = Ontology.from_columns(table(spark, d, "orders"), F.col("o_orderkey"), t.make("ClassAssertion", t.cls(f"{U}Order"), ind("order", "o_orderkey")))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    line = ind("line", F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_returnflag")))
+    has_line = Ontology.from_columns(lines, _id(), t.make("ObjectPropertyAssertion", _p("hasLine"), ind("order", "l_orderkey"), line))
+    flags = Ontology.from_columns(lines, _id(), t.make("ClassAssertion", cls("flag", "l_returnflag"), line))
+    return orders.add(has_line, flags, step=STEP)
+
+
+def rules(spark: SparkSession, *axioms: t.Term) -> Ontology:
+    return Ontology.of(spark, axioms, prefixes=names.prefixes(x=U))
+
+
+@query(f"SELECT '{U}order/' || o_orderkey AS subject FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def icv_some_values(spark, d):
+    check = t.make("SubClassOf", t.cls(f"{U}Order"), t.some(_p("hasLine"), t.cls(t.THING)))
+    return icv.validate(order_facts(spark, d), rules(spark, check)).violations.select("subject")
+
+
+@query(f"SELECT DISTINCT '{U}order/' || l_orderkey AS subject FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'")
+def icv_all_values(spark, d):
+    check = t.make("SubClassOf", t.cls(f"{U}Order"), t.only(_p("hasLine"), t.cls(f"{U}flag/R")))
+    return icv.validate(order_facts(spark, d), rules(spark, check)).violations.select("subject")
+
+
+@query(f"""SELECT '{U}customer/' || c_custkey AS subject FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0
+AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
+def icv_disjoint(spark, d):
+    africa = table(spark, d, "nation").filter("n_regionkey = 0").select("n_nationkey")
+    own = table(spark, d, "customer").join(africa, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    a = Ontology.from_columns(own, F.col("c_custkey"), t.make("ClassAssertion", t.cls(f"{U}African"), ind("customer", "c_custkey")))
+    orders = table(spark, d, "orders")
+    b = Ontology.from_columns(orders, F.col("o_orderkey"), t.make("ObjectPropertyAssertion", _p("placed"), ind("customer", "o_custkey"), ind("order", "o_orderkey")))
+    c = Ontology.from_columns(orders, F.col("o_orderkey"), t.make("ClassAssertion", cls("priority", "o_orderpriority"), ind("order", "o_orderkey")))
+    check = t.make("DisjointClasses", t.cls(f"{U}African"), t.some(_p("placed"), t.cls(f"{U}priority/1-URGENT")))
+    return icv.validate(a.add(b, c, step=STEP), rules(spark, check)).violations.select("subject")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 0), c AS (SELECT a, b, 1 AS n FROM e UNION SELECT c.a, e.b, n + 1 FROM c JOIN e ON c.b = e.a)
+SELECT '{U}part/' || a AS subject, min(n)::INT AS steps FROM c WHERE b = 0 GROUP BY a""")
+def icv_path_length(spark, d):
+    """The shortest chain of facts behind a derived transitive fact, for every part that reaches part 0."""
+    half = F.floor(F.col("p_partkey") / 2).cast("long")
+    o = halving(spark, d, t.make("ObjectPropertyAssertion", _p("half"), ind("part", "p_partkey"), ind("part", half)))
+    check = t.make("SubClassOf", t.has(_p("reaches"), t.ind(f"{U}part/0")), t.neg(t.has(_p("reaches"), t.ind(f"{U}part/0"))))
+    c = rules(spark, t.make("SubObjectPropertyOf", _p("half"), _p("reaches")), t.make("TransitiveObjectProperty", _p("reaches")), check)
+    return icv.validate(o, c).violations.select("subject", F.size("path").alias("steps"))
+
+
+# --- EL -------------------------------------------------------------------
+
+
+def supplied(spark: SparkSession, d: str) -> Ontology:
+    """Parts, their types and suppliers, located in nations and regions; a defined class over them."""
+    some = lambda p, c: t.some(_p(p), c)
+    part = Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), t.make("SubClassOf", cls("part", "p_partkey"), cls("type", "p_type")))
+    links = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    by = Ontology.from_columns(links, _id(), t.make("SubClassOf", cls("part", "l_partkey"), some("suppliedBy", cls("supplier", "l_suppkey"))))
+    sup = Ontology.from_columns(table(spark, d, "supplier"), F.col("s_suppkey"), t.make("SubClassOf", cls("supplier", "s_suppkey"), some("locatedIn", cls("nation", "s_nationkey"))))
+    nat = Ontology.from_columns(table(spark, d, "nation"), F.col("n_nationkey"), t.make("SubClassOf", cls("nation", "n_nationkey"), some("locatedIn", cls("region", "n_regionkey"))))
+    first = t.cls(f"{U}type/ECONOMY")
+    defined = Ontology.of(spark, [
+        t.make("TransitiveObjectProperty", _p("locatedIn")), t.make("SubPropertyChainOf", _p("availableIn"), _p("suppliedBy"), _p("locatedIn")),
+        t.make("EquivalentClasses", t.cls(f"{U}Q"), t.conj(first, some("availableIn", t.cls(f"{U}nation/3")))),
+    ])
+    return part.add(by, sup, nat, defined, step=STEP)
+
+
+@query(f"""SELECT DISTINCT '{U}part/' || p_partkey AS sub, '{U}Q' AS super FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_type = 'ECONOMY' AND s_nationkey = 3""")
+def el_subsumptions(spark, d):
+    return el.classify(supplied(spark, d)).subsumptions().filter(F.col("super") == f"{U}Q").filter(F.col("sub").startswith(f"{U}part/"))
+
+
+@query(f"SELECT '{U}order/' || l_orderkey AS iri FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 2")
+def el_unsatisfiable(spark, d):
+    flags = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag").distinct()
+    a = Ontology.from_columns(flags, _id(), t.make("SubClassOf", cls("order", "l_orderkey"), cls("flag", "l_returnflag")))
+    b = Ontology.of(spark, [t.make("DisjointClasses", t.cls(f"{U}flag/A"), t.cls(f"{U}flag/R"))])
+    return el.classify(a.add(b, step=STEP)).unsatisfiable()
+
+
+@query(f"""SELECT '{U}supplier/' || s_suppkey AS sub, '{U}nation/' || s_nationkey AS super FROM supplier UNION SELECT '{U}nation/' || n_nationkey, '{U}region/' || n_regionkey FROM nation
+UNION SELECT '{U}region/' || n_regionkey, '{t.THING}' FROM nation""")
+def el_direct_supers(spark, d):
+    nation = table(spark, d, "nation")
+    skip = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    far = Ontology.from_columns(skip, F.col("s_suppkey"), t.make("SubClassOf", cls("supplier", "s_suppkey"), cls("region", "n_regionkey")))
+    return el.classify(places(spark, d).add(far, step=STEP)).direct_supers()
+
+
+@query(f"WITH RECURSIVE {_RING}, {_CLOSURE} SELECT sub AS a, super AS b FROM c WHERE sub <> super")
+def el_equivalents(spark, d):
+    return el.classify(ring(spark, d)).equivalents()
+
+
+@query(f"SELECT 'SubClassOf(<{U}part/' || p_partkey || '> ObjectUnionOf(<{U}brand/' || p_brand || '> <{U}type/' || p_type || '>))' AS text FROM part")
+def el_unsupported(spark, d):
+    ax = t.make("SubClassOf", cls("part", "p_partkey"), t.disj(cls("brand", "p_brand"), cls("type", "p_type")))
+    o = Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), ax).add(places(spark, d), step=STEP)
+    return el.classify(o).unsupported().select("text")
+
+
+@query(f"""SELECT 'SubClassOf(<{U}supplier/' || s_suppkey || '> <{U}nation/' || s_nationkey || '>)' AS text FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier)
+UNION SELECT 'SubClassOf(<{U}nation/' || n_nationkey || '> <{U}region/' || n_regionkey || '>)' FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier)""")
+def el_explain(spark, d):
+    first = table(spark, d, "supplier").agg(F.min("s_suppkey").alias("s_suppkey")).join(table(spark, d, "supplier"), "s_suppkey").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).first()
+    c = el.classify(places(spark, d), explanations=True)
+    return c.explain(f"{U}supplier/{first['s_suppkey']}", f"{U}region/{first['n_regionkey']}").select("text")
+
+
+# --- vocabularies and names -----------------------------------------------
+
+
+def brands(spark: SparkSession, d: str) -> vocabulary.Vocabulary:
+    part = table(spark, d, "part")
+    o = _declare(part, F.col("p_partkey"), cls("part", "p_partkey")).add(
+        Ontology.from_columns(part, F.col("p_partkey"), t.make("AnnotationAssertion", t.ann(f"{t.RDFS}label"), t.bare(iri("part", "p_partkey")), t.literal(F.col("p_name")))), step=STEP)
+    return vocabulary.Vocabulary.of(o.prefix("x", U), declared_only=True)
+
+
+@query(f"""WITH n AS (SELECT lower(trim(p_name)) AS k, count(*) AS c, min('{U}part/' || p_partkey) AS iri FROM part GROUP BY 1), q AS (SELECT DISTINCT upper(p_name) AS asked FROM part)
+SELECT asked, CASE WHEN c = 1 THEN 0 END AS kind, CASE WHEN c = 1 THEN iri END AS iri, CASE WHEN c = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM q JOIN n ON lower(trim(asked)) = k""")
+def vocab_resolve(spark, d):
+    asked = table(spark, d, "part").select(F.upper("p_name").alias("name"))
+    return brands(spark, d).resolve(asked).select("asked", "kind", "iri", "status")
+
+
+@query(f"SELECT '<{U}part/' || p_partkey || '>' AS asked, 0 AS kind, '{U}part/' || p_partkey AS iri FROM part")
+def vocab_lookup(spark, d):
+    asked = table(spark, d, "part").select(F.concat(F.lit(f"<{U}part/"), F.col("p_partkey").cast("string"), F.lit(">")).alias("name"))
+    return brands(spark, d).lookup(asked)
+
+
+@query(f"SELECT DISTINCT 0 AS kind, '{U}part/' || l_orderkey AS iri FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_orderkey)")
+def vocab_unknown(spark, d):
+    o = Ontology.from_columns(table(spark, d, "lineitem"), _id(), t.make("SubClassOf", cls("part", "l_orderkey"), t.cls(t.THING)))
+    return brands(spark, d).unknown(o).select("kind", "iri").distinct()
+
+
+_HOST = r"regexp_extract(url, '^[a-z]+://[^/]+/', 0)"
+
+
+@query(f"SELECT page_id, {_HOST} AS prefix FROM pages WHERE {_HOST} <> '' UNION ALL SELECT page_id, NULL FROM pages WHERE {_HOST} = ''")
+def owner_prefix(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    ns = F.regexp_extract("url", "^[a-z]+://[^/]+/", 0)
+    registry = pages.select(ns.alias("ns"), ns.alias("prefix")).filter("ns <> ''").distinct()
+    return vocabulary.owner(pages, "url", registry).select("page_id", "prefix")
+
+
+@query("""SELECT page_id, url, regexp_extract(url, '[^#/:]*$', 0) AS local, lower(regexp_replace(regexp_extract(url, '[^#/:]*$', 0), '[^A-Za-z0-9]', '', 'g')) AS fold FROM pages""")
+def local_names(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", "url", names.local_name(u).alias("local"), names.fold(names.local_name(u)).alias("fold"))
+
+
+@query(f"SELECT p_partkey, 'x:' || p_partkey AS compact, '{U}part/' || p_partkey AS expanded, '<{U}part/>' AS bare FROM part")
+def curies(spark, d):
+    table_ = names.prefixes(x=f"{U}part/", y=U)
+    full = iri("part", "p_partkey")
+    short = names.compact(full, table_)
+    return table(spark, d, "part").select("p_partkey", short.alias("compact"), names.expand(short, table_).alias("expanded"), names.written(F.lit(f"{U}part/"), {}).alias("bare"))
+
+
+# --- shapes and components ------------------------------------------------
+
+
+@query("""WITH f AS (SELECT DISTINCT c_nationkey AS o, c_mktsegment AS i FROM customer), g AS (SELECT o, string_agg(i, ',' ORDER BY i) AS shape FROM f GROUP BY o)
+SELECT a.o AS a, b.o AS b, len(list_intersect(string_split(a.shape, ','), string_split(b.shape, ',')))::BIGINT AS shared FROM g a JOIN g b ON a.o < b.o WHERE len(list_intersect(string_split(a.shape, ','), string_split(b.shape, ','))) > 0""")
+def shape_overlap(spark, d):
+    fields = table(spark, d, "customer").select(F.col("c_nationkey").alias("owner"), F.col("c_mktsegment").alias("item")).distinct()
+    return diff.multiset_overlap(fields, "owner", "item")
+
+
+@query("""WITH f AS (SELECT p_brand AS o, p_type AS i, count(*) AS n FROM part GROUP BY ALL), s AS (SELECT o, string_agg(i || ' x' || n, ', ' ORDER BY i) AS shape FROM f GROUP BY o) SELECT o AS owner, shape FROM s""")
+def type_shapes(spark, d):
+    return shapes.shapes(table(spark, d, "part").select(F.col("p_brand").alias("owner"), F.col("p_type").alias("field"))).select("owner", "shape")
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS b FROM supplier) SELECT a AS node, b AS root FROM e WHERE a IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) > 1))""")
+def component_roots(spark, d):
+    from pyspark.sql import Window
+
+    s = table(spark, d, "supplier")
+    nxt = s.withColumn("nxt", F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy(F.hash("s_suppkey"), "s_suppkey"))).filter("nxt is not null")
+    return components(nxt, "s_suppkey", "nxt")
+
+
+# --- documents ------------------------------------------------------------
+
+
+@query(f"""SELECT 'nation/' || n_nationkey AS onto, 0::BIGINT AS idx, 'SubClassOf' AS kind, 'SubClassOf(<{U}nation/' || n_nationkey || '> <{U}region/' || n_regionkey || '>)' AS text FROM nation
+UNION ALL SELECT 'nation/' || n_nationkey, 1, 'AnnotationAssertion', 'AnnotationAssertion(<{t.RDFS}label> <{U}nation/' || n_nationkey || '> "' || n_name || '"^^<{t.XSD}string>)' FROM nation""")
+def parsed_documents(spark, d):
+    """Documents in a text column, parsed on executors."""
+    n, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    text = F.concat(F.lit(f"Prefix(n:=<{U}nation/>)\nOntology(<urn:o>\n# a comment\nSubClassOf(n:"), n, F.lit(f" <{U}region/"), r, F.lit('>)\nAnnotationAssertion(rdfs:label n:'), n, F.lit(' "'), F.col("n_name"), F.lit('")\n)'))
+    docs = table(spark, d, "nation").select(F.concat(F.lit("nation/"), n).alias("key"), text.alias("text"))
+    return ofn.parse_column(docs, "key", "text").select("onto", "idx", "kind", "text")
+
+
+@query(f"SELECT 'SubClassOf(x:part/' || p_partkey || ' <urn:y:' || p_brand || '>)' AS line FROM part" .replace("x:part/", "p:"))
+def rendered_lines(spark, d):
+    o = Ontology.from_columns(table(spark, d, "part"), F.col("p_partkey"), t.make("SubClassOf", cls("part", "p_partkey"), t.cls(cat("urn:y:", F.col("p_brand")))))
+    return ofn.lines(o.prefix("p", f"{U}part/")).select("line")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of every supplier, nation and region class."""
-    raise NotImplementedError
+    return ancestors(spark, sf_dir)

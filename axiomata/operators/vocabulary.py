@@ -128,11 +128,11 @@ def owner(iris: DataFrame, column: str, registry: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in registry.select(F.length("ns")).distinct().collect())  # few: one for each length
     if not lengths:
         return iris.withColumn("prefix", F.lit(None).cast("string"))
-    c = F.col(column)
+    c = F.col("__iri")
     starts = F.filter(F.array(*[F.when(F.length(c) >= n, F.substring(c, 1, n)) for n in lengths]), lambda s: s.isNotNull())
-    keyed = iris.select(c.alias("__iri")).distinct().select("__iri", F.explode(starts).alias("ns"))
+    keyed = iris.select(F.col(column).alias("__iri")).distinct().select("__iri", F.explode(starts).alias("ns"))
     best = keyed.join(registry.select("ns", "prefix"), "ns").groupBy("__iri").agg(F.max_by("prefix", F.struct(F.length("ns"), "prefix")).alias("prefix"))
-    return iris.join(best, c == F.col("__iri"), "left").drop("__iri")
+    return iris.join(best, F.col(column) == F.col("__iri"), "left").drop("__iri")
 
 
 def expanded(df: DataFrame, column: str, prefixes: dict[str, str]) -> DataFrame:
