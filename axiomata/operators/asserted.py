@@ -9,8 +9,6 @@ from axiomata.functions import terms as t
 from axiomata.model import Ontology
 from axiomata.plans.fixpoint import closure
 
-_A, _B = F.element_at("nodes", 2), F.element_at("nodes", 3)
-
 
 def child(pos: int) -> Column:
     """The direct part number ``pos`` of an axiom."""

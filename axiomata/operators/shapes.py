@@ -14,14 +14,18 @@ from axiomata.plans.fixpoint import components
 
 
 def fields(o: Ontology) -> DataFrame:
-    """(owner, field, held, is_object): properties with a domain and a range; the last domain and range win."""
-    def last(kind: str, name: str) -> DataFrame:
-        x = o.kind(*kind.split()).select("idx", asserted.child(0)["iri"].alias("field"), asserted.child(1).alias("n"), F.col("kind").alias("k"))
-        return x.groupBy("field").agg(F.max_by("n.text", "idx").alias(name), F.max_by("n.iri", "idx").alias(f"{name}_iri"), F.max_by("k", "idx").alias(f"{name}_kind"))
+    """(owner, field, held, is_object): properties with a named domain or range; null for the end not stated, the last statement wins."""
 
-    d = last("ObjectPropertyDomain DataPropertyDomain", "owner")
-    r = last("ObjectPropertyRange DataPropertyRange", "held")
-    return d.join(r, "field").select(F.coalesce("owner_iri", "owner").alias("owner"), "field", F.coalesce("held_iri", "held").alias("held"), (F.col("held_kind") == "ObjectPropertyRange").alias("is_object"))
+    def last(kinds: str, wanted: dict[str, int], name: str) -> DataFrame:
+        x = o.kind(*kinds.split()).select("idx", F.col("kind").alias("k"), asserted.child(0).alias("p"), asserted.child(1).alias("n")).filter("p.op <> 'ObjectInverseOf'")
+        ok = F.lit(False)
+        for kind, entity in wanted.items():
+            ok = ok | ((F.col("k") == kind) & (F.col("n.kind") == entity))
+        return x.filter(ok).groupBy(F.col("p.iri").alias("field")).agg(F.max_by("n.iri", "idx").alias(name), F.max_by("k", "idx").alias(f"{name}_kind"))
+
+    d = last("ObjectPropertyDomain DataPropertyDomain", {"ObjectPropertyDomain": t.CLASS, "DataPropertyDomain": t.CLASS}, "owner")
+    r = last("ObjectPropertyRange DataPropertyRange", {"ObjectPropertyRange": t.CLASS, "DataPropertyRange": t.DATATYPE}, "held")
+    return d.join(r, "field", "full").select("owner", "field", "held", F.coalesce(F.col("held_kind") == "ObjectPropertyRange", F.lit(False)).alias("is_object"))
 
 
 def shapes(items: DataFrame, owner: str = "owner", field: str = "field") -> DataFrame:
@@ -32,44 +36,50 @@ def shapes(items: DataFrame, owner: str = "owner", field: str = "field") -> Data
 
 
 def compared(items: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, how, shared): owners a < b that share ``least`` fields and where one shape holds the other.
+    """(a, b, how, shared): owners a < b of (owner, field, is_object) that share ``least`` fields, one of them an object, where one shape holds the other.
 
     ``how`` is same, superset (a holds b) or subset.
     """
     sizes = items.groupBy("owner").agg(F.count("*").alias("n"))
     both = multiset_overlap(items, "owner", "field").filter(F.col("shared") >= least)
+    both = both.join(multiset_overlap(items.filter("is_object"), "owner", "field").select("a", "b"), ["a", "b"], "left_semi")
     both = both.join(sizes.select(F.col("owner").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("owner").alias("b"), F.col("n").alias("nb")), "b")
     how = F.when((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb")), "same").when(F.col("shared") == F.col("nb"), "superset").when(F.col("shared") == F.col("na"), "subset")
-    return both.withColumn("how", how).filter("how is not null").select("a", "b", "how", "shared")
+    return both.withColumn("how", how).filter("how is not null").select("a", "b", "how", "shared", (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("extra"))
+
 
+def held(o: Ontology) -> DataFrame:
+    """(owner, field, is_object): what the complete fields of each type hold; names do not count."""
+    return fields(o).filter("owner is not null and held is not null").select("owner", F.col("held").alias("field"), "is_object")
 
-def field_kinds(o: Ontology) -> DataFrame:
-    """(owner, field): fields by local name and what they hold, for comparing types."""
-    from axiomata.functions.names import local_name
 
-    return fields(o).select("owner", F.concat(local_name(F.col("field")), F.lit(": "), F.col("held")).alias("field"))
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    back = F.when(F.col("how") == "superset", "subset").when(F.col("how") == "subset", "superset").otherwise("same")
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), back.alias("how"), "shared", "extra"))
 
 
 def compare(before: Ontology, after: Ontology) -> DataFrame:
-    """(rule, severity, subject, message): what new types repeat or leave unconnected.
+    """(rule, severity, subject, message): what new and changed types repeat, and new ones that stand alone.
 
-    same-shape: a type added since ``before`` has the fields of another type,
-    or holds or is held by one. new-orphan: a component of types and the
+    same-shape: a type added or changed since ``before`` holds the same as
+    another, or all of it, or nothing else, and did not before. new-orphan: a component of types and the
     types their fields hold without any type known before.
     """
-    known = before.declared().filter(F.col("kind") == t.CLASS).select("iri")
-    now = after.declared().filter(F.col("kind") == t.CLASS).select("iri")
+    known, now = before.entities(t.CLASS), after.entities(t.CLASS)
     added = now.join(known, "iri", "left_anti")
-    pairs = compared(field_kinds(after))
-    flip = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.when(F.col("how") == "superset", "subset").when(F.col("how") == "subset", "superset").otherwise("same").alias("how"), "shared")
+    was, has = shapes(held(before)), shapes(held(after))
+    changed = has.join(was.select("owner", "shape"), ["owner", "shape"], "left_anti").select(F.col("owner").alias("a"))
     rank = F.when(F.col("how") == "same", 0).when(F.col("how") == "superset", 1).otherwise(2)
-    own = pairs.unionByName(flip).join(added.select(F.col("iri").alias("a")), "a", "left_semi")
-    best = own.groupBy("a").agg(F.min(F.struct(rank.alias("rank"), (-F.col("shared")).alias("less"), "b", "how")).alias("m"))
-    same = best.select(F.lit("same-shape").alias("rule"), F.lit(WARNING).alias("severity"), F.col("a").alias("subject"), F.concat(F.col("a"), F.lit(" has a "), F.col("m.how"), F.lit(" of the fields of "), F.col("m.b")).alias("message"))
-    links = fields(after).filter("is_object").select(F.col("owner").alias("a"), F.col("held").alias("b")).filter("a <> b")
-    roots = now.join(components(links), F.col("iri") == F.col("node"), "left").select("iri", F.coalesce("root", "iri").alias("root"))
-    held = roots.join(known, "iri", "left_semi").select("root").distinct()
-    lone = roots.join(held, "root", "left_anti").join(added, "iri", "left_semi")
+    own = _both_ways(compared(held(after))).join(changed, "a", "left_semi")
+    own = own.join(_both_ways(compared(held(before))).select("a", "b", "how"), ["a", "b", "how"], "left_anti")
+    best = own.groupBy("a").agg(F.min(F.struct(rank.alias("rank"), "extra", "b", "how")).alias("m"))
+    verb = F.when(F.col("m.how") == "same", " holds the same as ").when(F.col("m.how") == "superset", " holds all and more than ").otherwise(" holds nothing beyond ")
+    same = best.select(F.lit("same-shape").alias("rule"), F.lit(WARNING).alias("severity"), F.col("a").alias("subject"), F.concat(F.col("a"), verb, F.col("m.b")).alias("message"))
+    links = fields(after).filter("is_object and owner is not null").select(F.col("owner").alias("a"), F.col("held").alias("b")).filter("a <> b")
+    steps = asserted.hierarchy(after).select(F.col("sub").alias("a"), F.col("super").alias("b"))
+    roots = now.join(components(links.unionByName(steps)), F.col("iri") == F.col("node"), "left").select("iri", F.coalesce("root", "iri").alias("root"))
+    old = roots.join(known, "iri", "left_semi").select("root").distinct()
+    lone = roots.join(old, "root", "left_anti").join(added, "iri", "left_semi")
     orphan = lone.select(F.lit("new-orphan").alias("rule"), F.lit(INFO).alias("severity"), F.col("iri").alias("subject"), F.concat(F.col("iri"), F.lit(" touches no type known before")).alias("message"))
     return same.unionByName(orphan)
 
