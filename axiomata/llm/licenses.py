@@ -194,21 +194,28 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.6, similar: floa
 
     grams = [grams_of(n) for n in (1, 2, 3)]
     buckets = F.array_distinct(F.transform(F.concat(*grams), lambda g: F.crc32(g.cast("binary")) % BUCKETS))
-    lines = lines.withColumn("buckets", buckets)
-    # per bucket the weights of all families, so one pass over the buckets sums them all
-    table = F.lit([[float(v) for v in row] for row in model.weights.T])
-    add = lambda s, k: F.zip_with(s, F.get(table, k.cast("int")), lambda a, b: a + b)
-    logits = F.aggregate("buckets", F.lit([float(v) for v in model.bias]), add)
+    # all weights as one folded array, bucket by bucket: one literal in the plan
+    n = len(model.families)
+    table = F.split(F.lit(",".join(f"{v:.6f}" for v in model.weights.T.ravel())), ",").cast("array<double>")
+    bias = F.split(F.lit(",".join(f"{v:.6f}" for v in model.bias)), ",").cast("array<double>")
+    lines = lines.withColumn("buckets", F.transform(buckets, lambda k: k.cast("int") * n))
+    add = lambda c: F.aggregate("buckets", F.lit(0.0), lambda s, k: s + F.get(table, k + c))
+    logits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.get(bias, c) + add(c))
     lines = lines.withColumn("z", F.transform(logits, lambda v: v / model.temperature))
     lines = lines.withColumn("e", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, b: a + b)
     best = F.array_position("e", F.array_max("e")).cast("int")
     lines = lines.withColumn("probability", F.array_max("e") / total).withColumn("best", best)
-    named = F.element_at(F.lit(model.families), F.col("best"))
+    named = F.element_at(F.split(F.lit(",".join(model.families)), ","), F.col("best"))
     lines = lines.withColumn("family", F.when(F.col("probability") >= least, named).otherwise(F.lit("unknown")))
-    shapes = F.lit([model.templates.get(f, []) or [[""]] for f in model.families])
+    shapes = F.split(F.lit(";".join("\n".join(dict.fromkeys(" ".join(ws) for ws in model.templates.get(f, []))) for f in model.families)), ";")
     own = F.array_distinct("words")
-    jaccard = F.transform(F.element_at(shapes, F.col("best")), lambda t: F.size(F.array_intersect(own, t)) / F.size(F.array_union(own, t)))
+
+    def share(template):
+        other = F.split(template, " ")
+        return F.size(F.array_intersect(own, other)) / F.size(F.array_union(own, other))
+
+    jaccard = F.transform(F.split(F.element_at(shapes, F.col("best")), "\n"), share)
     similarity = F.when(F.col("family") != "unknown", F.array_max(jaccard)).otherwise(F.lit(0.0))
     lines = lines.withColumn("template_similarity", similarity)
     return lines.select("id", "paragraph", "notice", "family", "probability", "template_similarity", (F.col("template_similarity") >= similar).alias("confirmed"))
