@@ -176,3 +176,18 @@ def scored(docs: DataFrame, model: RuleModel, text_col: str = "text", score: str
     at = {n: f"__stat_{n}" for n in stats if n in used}
     wide = docs.select("*", *[stats[n].alias(a) for n, a in at.items()])
     return wide.withColumn(score, model.column({n: F.col(a) for n, a in at.items()})).drop(*at.values())
+
+
+def kept(docs: DataFrame, model: RuleModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, that score ``least`` or more.
+
+    A plain filter on the score would be pushed below the projection of the
+    statistics and compute them anew for every rule that reads them; an
+    explode of zero or one element keeps each statistic computed once.
+    """
+    stats = statistics(F.col(text_col))
+    used = {model.names[i] for rule, _ in model.rules for i, _, _ in rule}
+    at = {n: f"__stat_{n}" for n in stats if n in used}
+    wide = docs.select("*", *[stats[n].alias(a) for n, a in at.items()])
+    score = model.column({n: F.col(a) for n, a in at.items()})
+    return wide.select("*", F.explode(F.when(score >= least, F.array(F.lit(1)))).alias("__kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drop documents that score below ``KEEP_QUALITY``; without labels every score is 0.5 and all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod("doc_id", 5) != 0)
     model = quality.fit(docs, labels)
-    return quality.scored(docs, model, score="__quality").filter(F.col("__quality") >= KEEP_QUALITY).select(*docs.columns)
+    return quality.kept(docs, model, KEEP_QUALITY)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
