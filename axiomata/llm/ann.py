@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from axiomata.llm.scratch import Scratch
 
 LEAF = 128
+LANES = 16
 
 
 def chi_square_cdf(x: float, m: int) -> float:
@@ -138,7 +139,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 12, confidence: float = 0.95, cell_rows: int = 2048, sample: int = 16_384, query_block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 12, confidence: float = 0.95, cell_rows: int = 2048, sample: int = 16_384, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query row, without its own row.
 
     ``score`` is the inner product in double precision; ties go to the smaller
@@ -222,7 +223,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
     blocks = max(1, -(-total // query_block))
     grouped = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
 
-    def run(pairs: DataFrame, first: bool) -> DataFrame:
+    def run(pairs: DataFrame) -> DataFrame:
         """Search every (query block, cell chunk) pair."""
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +250,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
         return pairs.mapInArrow(search, f"query_id {kind}, vec_id {kind}, score double")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(cell, query, lower bound) rows of each query: its own cell only, or all that its bound lets in."""
+        """Each query with the cell it falls into."""
         for b in batches:
             if b.num_rows:
                 q = _matrix(b.column(1))
@@ -289,31 +290,103 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
 
     def pairs_of(df: DataFrame) -> DataFrame:
         joined = packed_queries(df).join(packed.withColumnRenamed("ids", "xids"), "cell").select("qid", "q", "bound", "data", "xids")
-        return joined.repartition(4 * parts)
+        return joined
 
-    near = scratch.keep(run(pairs_of(home), True), "near")
+    near = scratch.keep(run(pairs_of(home)), "near")
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").alias("kth"))
-    boxes = _cell_boxes(placed, big, planes, cells, dims)
+    low, high = _cell_boxes(placed, big, planes, cells, dims)
+    bounded = home.drop("bound").join(kth, F.col("id") == F.col("of"), "left").select("block", "cell", "id", "v", "kth")
+    bounded = scratch.keep(bounded, "bounded")
+
+    def bounds(q: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(kth), np.inf, np.maximum(0, (q**2).sum(1) + big - 2 * kth))
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = boxes
+        """(block, cell, gap) of every cell that the bound of some query of the block lets in."""
         for b in batches:
             if not b.num_rows:
                 continue
-            q = _matrix(b.column(2))
-            p, kth = project(q, np.zeros(len(q)), planes), b.column(4).to_numpy(zero_copy_only=False).astype(float)
-            bound = np.where(np.isnan(kth), np.inf, np.maximum(0, (q**2).sum(1) + big - 2 * kth))
-            gap = np.maximum(0, np.maximum(low[None] - p[:, None], p[:, None] - high[None]))
-            open_ = (gap**2).sum(2) <= quantile * bound[:, None]
-            open_[np.arange(len(q)), b.column(0).to_numpy()] = False
-            row, cell = np.nonzero(open_)
-            for at in range(0, len(row), 4096):
-                r = pa.array(row[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + 4096], pa.int64()), b.column(3).take(r), b.column(1).take(r), b.column(2).take(r), pa.array(bound[row[at : at + 4096]], pa.float64())], names=["cell", "block", "id", "v", "bound"])
-
-    wide = home.drop("bound").join(kth, F.col("id") == F.col("of"), "left").select("cell", "id", "v", "block", "kth").mapInArrow(widen, f"cell long, block long, id {kind}, v array<double>, bound double")
-    far = run(pairs_of(wide), False)
+            q = _matrix(b.column(3))
+            p, bound = project(q, np.zeros(len(q)), planes), bounds(q, b.column(4).to_numpy(zero_copy_only=False).astype(float))
+            block = b.column(0).to_numpy()
+            for own in np.unique(block):
+                mine = block == own
+                gap = (np.maximum(0, np.maximum(low[None] - p[mine, None], p[mine, None] - high[None])) ** 2).sum(2)
+                open_ = gap <= quantile * bound[mine, None]
+                open_[np.arange(len(open_)), b.column(1).to_numpy()[mine]] = False
+                cell = np.flatnonzero(open_.any(0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), own), pa.int64()), pa.array(cell, pa.int64()), pa.array(gap[:, cell].mean(0), pa.float64())], names=["block", "cell", "gap"])
+
+    def pack_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each block: its queries with bounds and home cells."""
+        def flush():
+            x = np.concatenate(vs)
+            ends = bounds(x, np.array(kths, float))
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([ids], pa.list_(id_type)), pa.array([ends.tolist()], pa.list_(pa.float64())), pa.array([homes], pa.list_(pa.int64()))], names=["block", "data", "qid", "bound", "home"])
+
+        key, vs, ids, kths, homes = None, [], [], [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(3))
+            for i, (own, cell, who, k_) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 4)))):
+                if own != key:
+                    if ids:
+                        yield flush()
+                    key, vs, ids, kths, homes = own, [], [], [], []
+                vs.append(x[i : i + 1])
+                ids.append(who)
+                kths.append(math.nan if k_ is None else k_)
+                homes.append(cell)
+        if ids:
+            yield flush()
+
+    ready = bounded.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(pack_block, f"block long, data binary, qid array<{kind}>, bound array<double>, home array<long>")
+    asked_cells = bounded.mapInArrow(widen, "block long, cell long, gap double").groupBy("block", "cell").agg(F.min("gap").alias("gap"))
+    # the cells of a block are dealt to a fixed number of lanes; a lane visits its cells in order and tightens the bounds
+    lane = F.pmod(F.xxhash64("cell"), F.lit(LANES)).cast("int").alias("lane")
+    to_cells = asked_cells.join(packed.withColumnRenamed("ids", "xids"), "cell").select("block", lane, F.lit(1).alias("role"), "gap", "cell", "data", "xids", F.lit(None).cast(f"array<{kind}>").alias("qid"), F.lit(None).cast("array<double>").alias("bound"), F.lit(None).cast("array<long>").alias("home"))
+    heads = ready.select("block", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.lit(0).alias("role"), F.lit(0.0).alias("gap"), F.lit(-1).cast("long").alias("cell"), "data", F.lit(None).cast(f"array<array<{kind}>>").alias("xids"), "qid", "bound", "home")
+    stream = heads.unionByName(to_cells).repartition(max(parts, min(100_000, LANES * blocks)), "block", "lane").sortWithinPartitions("block", "lane", "role", "gap", "cell")
+
+    def lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = qid = limit = own_cell = None
+        found: list[list] = []
+
+        def flush():
+            rows = [(who, e, s) for who, own in zip(qid, found) for s, e in sorted(((-s, e) for s, e in own))[:k]]
+            a, e, s = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(e, id_type), pa.array([-x for x in s], pa.float64())], names=["query_id", "vec_id", "score"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                x = np.frombuffer(b.column(5)[i].as_py(), np.float64).reshape(-1, d)
+                if b.column(2)[i].as_py() == 0:
+                    if found and any(found):
+                        yield flush()
+                    q, qid, limit, own_cell = x, b.column(7)[i].as_py(), np.array(b.column(8)[i].as_py()), np.array(b.column(9)[i].as_py())
+                    found = [[] for _ in qid]
+                    start, norms, qp = limit.copy(), (q**2).sum(1), project(q, np.zeros(len(q)), planes)
+                    continue
+                cell, ids = b.column(4)[i].as_py(), b.column(6)[i].as_py()
+                mine = np.flatnonzero(own_cell != cell)
+                lift2 = np.maximum(0, big - (x**2).sum(1))
+                who, score, _ = search_cell(q[mine], qp[mine], limit[mine], x, project(x, np.sqrt(lift2), planes), lift2, big, k + 1, quantile)
+                good = (who >= 0) & (norms[mine, None] + big - 2 * score <= start[mine, None] * (1 + 1e-9) + 1e-9)
+                for row in np.flatnonzero(good.any(1)):
+                    at, w = mine[row], who[row][good[row]]
+                    exact = (x[w] * q[at]).sum(1)  # the same sum for a vector wherever it is
+                    own = found[at]
+                    own += [(s, e) for r, s in zip(w, exact.tolist()) for e in ids[r] if e != qid[at]]
+                    if len(own) >= k:
+                        own.sort(key=lambda f: (-f[0], f[1]))
+                        del own[k:]
+                        limit[at] = min(limit[at], max(0.0, norms[at] + big - 2 * own[-1][0]))
+        if found and any(found):
+            yield flush()
+
+    far = stream.mapInArrow(lanes, f"query_id {kind}, vec_id {kind}, score double")
     found = near.unionByName(far).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
