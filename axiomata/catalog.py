@@ -14,9 +14,9 @@ from axiomata.functions import names
 from axiomata.functions import terms as t
 from axiomata.functions.terms import cat
 from axiomata.model import Ontology
-from axiomata.operators import asserted, diff, el, icv, lint, profiles, shapes, vocabulary
+from axiomata.operators import asserted, conform, diff, el, icv, lint, profiles, rdfmap, reports, shapes, vocabulary
 from axiomata.plans.fixpoint import components
-from axiomata.sources import ofn
+from axiomata.sources import ofn, rdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -608,6 +608,119 @@ def rendered_lines(spark, d):
     return ofn.lines(o.prefix("p", f"{U}part/")).select("line")
 
 
+# --- RDF, descriptions, streams -------------------------------------------
+
+
+def nation_turtle(spark: SparkSession, d: str) -> DataFrame:
+    """A Turtle document for each nation: a class below its region, with a label and a union."""
+    n, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    text = F.concat(
+        F.lit(f"@prefix : <{U}> . @prefix owl: <{t.OWL}> . @prefix rdfs: <{t.RDFS}> .\n<{U}n"), n, F.lit("> a owl:Class ; rdfs:subClassOf <urn:x:r"), r, F.lit("> ; rdfs:label \""), F.col("n_name"),
+        F.lit(f"\"@en ; owl:equivalentClass [ a owl:Class ; owl:unionOf ( <{U}n"), n, F.lit(f"> <{U}r"), r, F.lit("> ) ] .\n"),
+    )
+    return rdf.parse_column(table(spark, d, "nation").select(n.alias("key"), text.alias("text")), "key", "text")
+
+
+@query(f"""WITH n AS (SELECT n_nationkey::VARCHAR AS doc, n_nationkey AS k, n_regionkey AS r, n_name AS name FROM nation)
+SELECT doc, 0 AS which, 'rdf:type' AS p, 'owl:Class' AS o FROM n UNION ALL SELECT doc, 1, 'rdfs:subClassOf', '{U}r' || r FROM n UNION ALL SELECT doc, 2, 'rdfs:label', name FROM n""")
+def rdf_triples(spark, d):
+    triples = nation_turtle(spark, d).filter("s.tag = 'iri' and o.tag <> 'blank'")
+    pretty = lambda c: F.replace(F.replace(F.replace(c, F.lit(t.RDFS), F.lit("rdfs:")), F.lit(t.OWL), F.lit("owl:")), F.lit(t.RDF), F.lit("rdf:"))
+    which = F.when(F.col("p").endswith("type"), 0).when(F.col("p").endswith("subClassOf"), 1).otherwise(2)
+    return triples.select("doc", which.alias("which"), pretty(F.col("p")).alias("p"), pretty(F.col("o.text")).alias("o"))
+
+
+@query(f"""SELECT n_nationkey::VARCHAR AS doc, ['{U}n' || n_nationkey, '{U}r' || n_regionkey] AS items FROM nation""")
+def rdf_lists(spark, d):
+    return rdf.lists(nation_turtle(spark, d)).select("doc", F.transform("items", lambda i: i["text"]).alias("items"))
+
+
+@query(f"""SELECT 'SubClassOf(<{U}n' || n_nationkey || '> <{U}r' || n_regionkey || '>)' AS text FROM nation
+UNION SELECT 'Declaration(Class(<{U}n' || n_nationkey || '>))' FROM nation UNION SELECT 'Declaration(Class(<{U}r' || n_regionkey || '>))' FROM nation
+UNION SELECT 'AnnotationAssertion(<{t.RDFS}label> <{U}n' || n_nationkey || '> "' || n_name || '"@en)' FROM nation
+UNION SELECT 'EquivalentClasses(<{U}n' || n_nationkey || '> ObjectUnionOf(<{U}n' || n_nationkey || '> <{U}r' || n_regionkey || '>))' FROM nation
+UNION SELECT 'Declaration(AnnotationProperty(<{t.RDFS}label>))' FROM nation WHERE 1 = 0""")
+def rdf_axioms(spark, d):
+    return rdfmap.convert(nation_turtle(spark, d), (U,))[0].axioms.select("text")
+
+
+def types_as_code(spark: SparkSession, d: str, sizes: str) -> Ontology:
+    """Brands as types with a field for each part type; parts chosen by a condition."""
+    rows = table(spark, d, "part").filter(sizes).select("p_brand", "p_type").distinct()
+    m = f"{U}m#"
+    name = F.concat(F.col("p_brand"), F.lit("."), F.col("p_type"))
+    owner, field, held = t.cls(cat(m, F.col("p_brand"))), t.obj(cat(m, name)), t.cls(cat(m, F.col("p_type")))
+    key = F.xxhash64("p_brand", "p_type")
+    parts = [
+        Ontology.from_columns(rows.select("p_brand").distinct(), F.xxhash64("p_brand"), t.make("Declaration", owner)), Ontology.from_columns(rows.select("p_type").distinct(), F.xxhash64("p_type"), t.make("Declaration", held)),
+        Ontology.from_columns(rows, key, t.make("ObjectPropertyDomain", field, owner)), Ontology.from_columns(rows, key, t.make("ObjectPropertyRange", field, held)),
+    ]
+    return parts[0].add(*parts[1:], step=0).header(iri=f"{U}m")
+
+
+_SHAPES = """WITH b AS (SELECT DISTINCT p_brand AS o, p_type AS f FROM part WHERE {0}), a AS (SELECT DISTINCT p_brand AS o, p_type AS f FROM part)"""
+
+
+@query(_SHAPES.format("p_size <= 2") + """, s AS (SELECT o, string_agg(f, ',' ORDER BY f) AS shape FROM b GROUP BY o), n AS (SELECT o, string_agg(f, ',' ORDER BY f) AS shape, list(f) AS fs FROM a GROUP BY o),
+w AS (SELECT o, shape, list(f) AS fs FROM b JOIN s USING (o) GROUP BY o, shape),
+c AS (SELECT n.o, n.fs FROM n LEFT JOIN s ON n.o = s.o WHERE s.shape IS DISTINCT FROM n.shape),
+p AS (SELECT x.o AS a, y.o AS b, len(list_intersect(x.fs, y.fs)) AS k, len(x.fs) AS na, len(y.fs) AS nb FROM c x JOIN n y ON x.o <> y.o),
+q AS (SELECT a, CASE WHEN k = na AND k = nb THEN 'same' WHEN k = nb THEN 'superset' WHEN k = na THEN 'subset' END AS how, b FROM p WHERE k >= 2),
+old AS (SELECT x.o AS a, y.o AS b, CASE WHEN k = na AND k = nb THEN 'same' WHEN k = nb THEN 'superset' WHEN k = na THEN 'subset' END AS how FROM
+  (SELECT x.o AS xo, y.o AS yo, len(list_intersect(x.fs, y.fs)) AS k, len(x.fs) AS na, len(y.fs) AS nb FROM w x JOIN w y ON x.o <> y.o) z JOIN w x ON x.o = z.xo JOIN w y ON y.o = z.yo WHERE k >= 2)
+SELECT DISTINCT 'urn:x:m#' || a AS subject FROM q WHERE how IS NOT NULL AND NOT EXISTS (SELECT 1 FROM old WHERE old.a = q.a AND old.b = q.b AND old.how = q.how)""")
+def same_shape(spark, d):
+    found = shapes.compare(types_as_code(spark, d, "p_size <= 2"), types_as_code(spark, d, "true"))
+    return found.filter("rule = 'same-shape'").select("subject")
+
+
+@query("""WITH p AS (SELECT DISTINCT p_brand b, p_type f FROM part WHERE p_size = 30), o AS (SELECT DISTINCT p_brand b, p_type f FROM part WHERE p_size = 20), n AS (SELECT DISTINCT p_brand b, p_type f FROM part WHERE p_size IN (19, 20))
+SELECT 'missing-field' AS rule, 'urn:x:m#' || b || '.' || f AS subject FROM p WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.b = p.b AND n.f = p.f) AND b IN (SELECT b FROM n)
+UNION ALL SELECT 'missing-type', 'urn:x:m#' || b FROM (SELECT DISTINCT b FROM p) WHERE b NOT IN (SELECT b FROM n)
+UNION ALL SELECT 'unplanned-type', 'urn:x:m#' || b FROM (SELECT DISTINCT b FROM n) WHERE b NOT IN (SELECT b FROM o) AND b NOT IN (SELECT b FROM p)
+UNION ALL SELECT 'unplanned-field', 'urn:x:m#' || b || '.' || f FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.b = n.b AND o.f = n.f) AND NOT EXISTS (SELECT 1 FROM p WHERE p.b = n.b AND p.f = n.f) AND (b IN (SELECT b FROM o) OR b IN (SELECT b FROM p))""")
+def conformance(spark, d):
+    plan, before, after = (types_as_code(spark, d, c) for c in ("p_size = 30", "p_size = 20", "p_size in (19, 20)"))
+    return conform.conform(plan, before, after).select("rule", "subject")
+
+
+def packages(spark: SparkSession, d: str) -> Ontology:
+    """Orders and customers as packages; customers import their orders."""
+    m = f"{U}m#"
+    orders = table(spark, d, "orders")
+    pkg = lambda kind, c: t.ind(cat(f"{m}package.{kind}", F.col(c).cast("string")))
+    parts = [
+        Ontology.from_columns(orders, F.col("o_orderkey"), t.make("ClassAssertion", t.cls(f"{m}Package"), pkg("o", "o_orderkey"))),
+        Ontology.from_columns(orders.select("o_custkey").distinct(), F.col("o_custkey"), t.make("ClassAssertion", t.cls(f"{m}Package"), pkg("c", "o_custkey"))),
+        Ontology.from_columns(orders, F.col("o_orderkey"), t.make("ObjectPropertyAssertion", t.obj(f"{m}imports"), pkg("c", "o_custkey"), pkg("o", "o_orderkey"))),
+    ]
+    return parts[0].add(*parts[1:], step=STEP).header(iri=f"{U}m")
+
+
+@query(f"""SELECT 'invariant-violated' AS rule, '{U}m#package.c' || o_custkey AS subject FROM orders JOIN supplier ON s_suppkey = o_orderkey GROUP BY o_custkey
+UNION ALL SELECT 'empty-term', '{U}m#Ghost'""")
+def invariants(spark, d):
+    m = f"{U}m#"
+    core = Ontology.from_columns(table(spark, d, "supplier"), F.col("s_suppkey"), t.make("ClassAssertion", t.cls(f"{m}Core"), t.ind(cat(f"{m}package.o", F.col("s_suppkey").cast("string")))))
+    rule = Ontology.of(spark, [
+        t.make("DisjointClasses", t.some(t.obj(f"{m}dependsOn"), t.cls(f"{m}Core")), t.cls(f"{m}Package")), t.make("SubObjectPropertyOf", t.obj(f"{m}imports"), t.obj(f"{m}dependsOn")), t.make("SubClassOf", t.cls(f"{m}Ghost"), t.cls(f"{m}Core")),
+    ])
+    return conform.check_invariants(core.add(rule, step=STEP), packages(spark, d)).select("rule", "subject")
+
+
+@query("""SELECT 'urn:x:s#part.p_partkey' AS field, 'urn:x:s#part' AS owner, 'long' AS held UNION ALL SELECT 'urn:x:s#part.p_name', 'urn:x:s#part', 'string' UNION ALL SELECT 'urn:x:s#part.p_brand', 'urn:x:s#part', 'string'
+UNION ALL SELECT 'urn:x:s#part.p_type', 'urn:x:s#part', 'string' UNION ALL SELECT 'urn:x:s#part.p_size', 'urn:x:s#part', 'int' UNION ALL SELECT 'urn:x:s#part.p_retailprice', 'urn:x:s#part', 'double'""")
+def described_schema(spark, d):
+    o = shapes.describe(spark, {"part": table(spark, d, "part").schema}, f"{U}s#")
+    return shapes.fields(o).select("field", "owner", F.replace("held", F.lit(t.XSD)).alias("held"))
+
+
+@query("""SELECT '{"ontology":"urn:x:places","counts":{"Class":' || ((SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(DISTINCT n_regionkey) FROM nation)) || ',"axioms":' || ((SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation)) ||
+'},"axioms":[{"kind":"SubClassOf","n":' || ((SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation)) || '}]}' AS report""")
+def report_stats(spark, d):
+    return reports.stats_report(places(spark, d).header(iri=f"{U}places"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of every supplier, nation and region class."""
     return ancestors(spark, sf_dir)

@@ -10,11 +10,16 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Checkpointed deltas that a fixpoint reads side by side before it merges them.
+PARTS = 6
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; the folder is ``spark.checkpoint.dir``, or a new local one where that is unset."""
     sc = df.sparkSession.sparkContext
@@ -51,13 +56,17 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFr
         return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__r")).select(*key, "__r.*").select(*seed.columns)
 
     with loop_settings(spark):
-        known = delta = checkpointed(first(seed))
+        delta = checkpointed(first(seed))
+        parts = [delta]  # rounds so far; merged now and then, so that neither the plan nor what is written grows with the square of the rounds
         for n in range(1, max_rounds + 1):
+            known = reduce(DataFrame.unionByName, parts)
             found = step(delta, known, n).join(known.select(*key), key, "left_anti")
             delta = checkpointed(first(found.select(*seed.columns)))
             if delta.isEmpty():
                 return known
-            known = checkpointed(known.unionByName(delta))
+            parts.append(delta)
+            if len(parts) > PARTS:
+                parts = [checkpointed(reduce(DataFrame.unionByName, parts))]
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
