@@ -119,7 +119,7 @@ class Ontology:
 
     def declared(self) -> DataFrame:
         """(kind, iri): declared entities."""
-        n = F.element_at("nodes", 2)
+        n = F.get(F.col("nodes"), F.lit(1))
         return self.kind("Declaration").select(n["kind"].alias("kind"), n["iri"].alias("iri")).distinct()
 
     def count(self) -> int:

@@ -11,8 +11,17 @@ from axiomata.plans.fixpoint import closure
 
 
 def child(pos: int) -> Column:
-    """The direct part number ``pos`` of an axiom."""
-    return F.get(F.filter("nodes", lambda n: (n["parent"] == 0) & (n["pos"] == pos)), F.lit(0))
+    """The direct part number ``pos`` of an axiom.
+
+    Where all parts before it are leaves it is simply node ``pos + 1``. For
+    axioms built from columns that is known to the optimizer, which then drops the
+    array and computes only the fields that are used.
+    """
+    near = F.get(F.col("nodes"), F.lit(pos + 1))
+    if pos == 0:
+        return near
+    far = F.get(F.filter("nodes", lambda n: (n["parent"] == 0) & (n["pos"] == pos)), F.lit(0))
+    return F.when((near["parent"] == 0) & (near["pos"] == pos), near).otherwise(far)
 
 
 def parts() -> Column:
