@@ -145,11 +145,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that lead their near-duplicate component.
 
-    The leader has the smallest id. Rows that repeat a leading id are all
-    kept if their texts differ in fingerprint, else once each by content;
-    null ids never lead: they are kept as no id can name them a copy.
+    The leader has the smallest id; the others are dropped by an anti join
+    with their ids, which are fewer than those that stay. Rows that repeat a
+    leading id are all kept, and so are rows without an id, as nothing names them a copy.
     """
     found = near_duplicates(spark, docs, id_col, text_col, radius)
-    leaders = found.filter("id is not null and id = component").select(F.col("id").alias("__leader")).distinct()
-    kept = docs.join(leaders, docs[id_col].eqNullSafe(leaders["__leader"]), "left_semi")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    copies = found.filter("id <> component").select(F.col("id").alias("__copy")).distinct()
+    copies = Scratch(spark, "copies").keep(copies, "ids")
+    return docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")
