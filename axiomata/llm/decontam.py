@@ -191,9 +191,26 @@ def _scan(texts: DataFrame, block: Block, schema: str) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, that hold no item; rows with null ids are judged by their own text."""
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__text")
-    keyed = docs.select("*", key)
-    bad = contaminated(keyed, benchmark, budget, id_col="__text", text_col=text_col).select(F.col("id").alias("__bad")).distinct()
-    return keyed.join(bad, F.col("__text") == F.col("__bad"), "left_anti").drop("__text")
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_words: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text holds no item.
+
+    Rows are judged in place, each block of items in turn, so nothing is
+    shuffled; null and empty texts stay, repeated rows stay repeated.
+    """
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
+    at = docs.columns.index(text_col)
+
+    def clean(df: DataFrame, block: Block) -> DataFrame:
+        held = spark.sparkContext.broadcast(block)  # at most block_words and one item
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = held.value
+            finder = block.finder()
+            for batch in batches:
+                yield batch.filter(pa.array([not block.matches(finder, t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+        return df.mapInArrow(run, df.schema)
+
+    for block in _blocks(rows, budget, block_words):
+        docs = clean(docs, block)
+    return docs
