@@ -11,7 +11,9 @@ what rounding left over is settled by a few documents of each source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axiomata.llm.scratch import Scratch
@@ -19,10 +21,14 @@ from axiomata.llm.scratch import Scratch
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
+def words(text: Column) -> Column:
+    """The whitespace-separated words of a whole text; null: 0."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size): the whitespace-separated words of each whole text; null: 0."""
-    words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.cast("long").alias("size"))
+    """(id, source, size) of each row."""
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -80,28 +86,42 @@ def multipliers(hist: DataFrame, goal: DataFrame, scratch: Scratch, cap: float =
     return state.select("source", "mean", F.round("lam", 9).alias("lam"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of every row.
+@dataclass(frozen=True)
+class Mix:
+    """``plan``: (of, source_size, target, mean, lam) for each source; ``changes``: (of, step, changed), a bounded number for each source."""
 
-    A document is taken 0 to ``cap`` whole times; ``taken`` is copies times
-    size. Empty and null texts have size 0 and add nothing; null sources are
-    one source, the last; rows that repeat an id get the same number of
-    copies if their sizes agree; an empty table gives no rows. Reruns agree, as
-    only hashes of ids decide.
-    """
-    scratch = Scratch(spark, "mixing")
-    base = scratch.keep(sizes(docs, id_col, text_col, source_col), "sizes")
+    plan: DataFrame
+    changes: DataFrame
+    cap: int
+
+    def apply(self, rows: DataFrame, id_: str, source: str, size: str) -> DataFrame:
+        """``rows`` with source_size, target, copies and taken; narrow but for the joins with the two small tables."""
+        got = _rounded(rows, self.plan, self.cap, id_, source, size)
+        c = self.changes.withColumnRenamed("of", "__of")
+        out = got.join(c, (F.col(id_) == F.col("changed")) & F.col(source).eqNullSafe(F.col("__of")), "left")
+        final = F.least(F.lit(self.cap), F.greatest(F.lit(0), F.col("copies") + F.coalesce("step", F.lit(0))))
+        final = F.when(F.col(size) > 0, final).otherwise(F.lit(0)).cast("int")
+        return out.withColumn("copies", final).withColumn("taken", (F.col("copies") * F.col(size)).cast("long")).drop("__of", "step", "changed")
+
+
+def _rounded(rows: DataFrame, plan: DataFrame, cap: int, id_: str, source: str, size: str) -> DataFrame:
+    """``rows`` with source_size, target and the copies that the hash of the id gives."""
+    x = F.col(size) / F.col("mean")
+    rate = F.when(F.col("lam").isNotNull(), _rate(x, F.col("lam"), cap)).when(F.col("target") > 0, F.lit(float(cap))).otherwise(F.lit(0.0))
+    draw = F.pmod(F.xxhash64(F.col(id_).cast("string"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
+    copies = F.when(F.col(size) > 0, F.least(F.lit(cap), F.floor(rate + draw))).otherwise(F.lit(0)).cast("int")
+    return rows.join(plan, F.col(source).eqNullSafe(F.col("of"))).withColumn("copies", copies).drop("of", "mean", "lam")
+
+
+def fit(spark: SparkSession, base: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2) -> Mix:
+    """The plan and the changes for rows (id, source, size)."""
     goal = scratch.keep(targets(base, weights, share, cap), "targets")
     hist = scratch.keep(base.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     dual = multipliers(hist, goal, scratch, cap)
     g, d = goal.alias("g"), dual.alias("d")
     plan = g.join(d, F.col("g.source").eqNullSafe(F.col("d.source")), "left").select(F.col("g.source").alias("of"), "source_size", "target", "mean", "lam")
     plan = scratch.keep(plan, "plan")
-    rate = F.when(F.col("lam").isNotNull(), _rate(F.col("size") / F.col("mean"), F.col("lam"), cap)).when(F.col("target") > 0, F.lit(float(cap))).otherwise(F.lit(0.0))
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
-    copies = F.when(F.col("size") > 0, F.least(F.lit(cap), F.floor(F.col("rate") + draw))).otherwise(F.lit(0)).cast("int")
-    rounded = base.join(plan, base["source"].eqNullSafe(plan["of"])).withColumn("rate", rate).withColumn("copies", copies).drop("of", "mean", "lam", "rate")
-    rounded = scratch.keep(rounded, "rounded")
+    rounded = scratch.keep(_rounded(base, plan, cap, "id", "source", "size"), "rounded")
 
     # what is left: one document for each (source, power of two, slot) may change by one copy
     rest = rounded.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("got"))
@@ -117,10 +137,31 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
     fill = lambda s, x: F.when(x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.array_append(s["ids"], x["id"]).alias("ids"))).otherwise(s)
     kind = dict(rounded.dtypes)["id"]
     start = F.struct(F.abs("left").alias("left"), F.array().cast(f"array<{kind}>").alias("ids"))
-    changes = joined.select("of", F.signum(F.col("left").cast("double")).cast("int").alias("step"), F.explode(F.aggregate(todo, start, fill)["ids"]).alias("changed"))
+    changes = joined.select("of", F.signum(F.col("left").cast("double")).cast("int").alias("step"), F.explode(F.aggregate(todo, start, fill)["ids"]).alias("changed")).distinct()
     changes = scratch.keep(changes, "changes")
-    r, c = rounded.alias("r"), changes.alias("c")
-    out = r.join(c, (F.col("r.id") == F.col("c.changed")) & F.col("r.source").eqNullSafe(F.col("c.of")), "left")
-    final = F.least(F.lit(cap), F.greatest(F.lit(0), F.col("copies") + F.coalesce("step", F.lit(0))))
-    final = F.when(F.col("size") > 0, final).otherwise(F.lit(0))
-    return out.select("id", F.col("r.source").alias("source"), "size", "source_size", "target", final.cast("int").alias("copies"), (final * F.col("size")).cast("long").alias("taken"))
+    return Mix(plan, changes, cap)
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) of every row.
+
+    A document is taken 0 to ``cap`` whole times; ``taken`` is copies times
+    size. Empty and null texts have size 0 and add nothing; null sources are
+    one source, the last; rows that repeat an id get the same number of
+    copies if their sizes agree; an empty table gives no rows. Reruns agree, as
+    only hashes of ids decide.
+    """
+    scratch = Scratch(spark, "mixing")
+    base = scratch.keep(sizes(docs, id_col, text_col, source_col), "sizes")
+    found = fit(spark, base, scratch, weights, share, cap).apply(base, "id", "source", "size")
+    return found.select("id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def mixed_rows(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs``, all columns kept, with copies and taken; texts are counted again rather than shuffled."""
+    scratch = Scratch(spark, "mixing")
+    base = scratch.keep(sizes(docs, id_col, text_col, source_col), "sizes")
+    kept = [c for c in docs.columns if c not in ("copies", "taken")]
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+    out = fit(spark, base, scratch, weights, share, cap).apply(wide, "id", "source", "size")
+    return out.select("row.*", "copies", "taken")

@@ -47,9 +47,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the copies that bring each source to its target: columns ``copies`` and ``taken``."""
-    found = mixing.mix(spark, docs).select(F.col("id").alias("__id"), F.col("copies"), F.col("taken"))
-    found = Scratch(spark, "mixed").keep(found.groupBy("__id").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken")), "copies")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"])).drop("__id")
+    return mixing.mixed_rows(spark, docs)
 
 
 STAGES = [
