@@ -42,10 +42,3 @@ class Scratch:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a kept table that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if at.startswith(("file:", "hdfs:", "s3", "gs:", "abfs", "viewfs:")) and self.root.rpartition("/")[2] in at:
-                path = jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(conf).delete(path, True)
