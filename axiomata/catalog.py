@@ -99,7 +99,7 @@ _RING = f"""r AS (SELECT 'nation' AS k, n_nationkey::BIGINT AS id, n_regionkey::
 e AS (SELECT '{U}' || k || '/' || id AS sub, '{U}' || k || '/' || coalesce(lead(id) OVER (PARTITION BY k, g ORDER BY id), min(id) OVER (PARTITION BY k, g)) AS super FROM r)"""
 
 
-# --- signature and hierarchy ----------------------------------------------
+# == signature and hierarchy
 
 
 def catalogue(spark: SparkSession, d: str) -> Ontology:
@@ -169,7 +169,7 @@ def equivalent_steps(spark, d):
     return asserted.hierarchy(o)
 
 
-# --- look-ups -------------------------------------------------------------
+# == look-ups
 
 
 def order_types(spark: SparkSession, d: str) -> Ontology:
@@ -216,7 +216,7 @@ def axioms_referencing(spark, d):
     return asserted.referencing(o, asked).select("idx", "kind", "iri")
 
 
-# --- canonical form, diff -------------------------------------------------
+# == canonical form, diff
 
 
 @query(f"""WITH x AS (SELECT '<{U}key/' || l_partkey || '>' AS a, '<{U}key/' || l_suppkey || '>' AS b FROM lineitem)
@@ -275,7 +275,7 @@ def sorted_axioms(spark, d):
     return o.sort().axioms.select("text", "idx")
 
 
-# --- lint -----------------------------------------------------------------
+# == lint
 
 
 def _declare(df: DataFrame, idx: Column, entity: t.Term) -> Ontology:
@@ -347,7 +347,7 @@ def standard_terms(spark, d):
     return found.select(names.fold(names.local_name(F.col("subject"))).alias("fold")).groupBy("fold").agg(F.count("*").alias("n"))
 
 
-# --- profiles -------------------------------------------------------------
+# == profiles
 
 
 def mixed(spark: SparkSession, d: str) -> Ontology:
@@ -398,7 +398,7 @@ def profile_dl(spark, d):
     return profiles.dl_violations(property_tree(spark, d)).select("reason")
 
 
-# --- closed-world checks --------------------------------------------------
+# == closed-world checks
 
 
 def order_facts(spark: SparkSession, d: str) -> Ontology:
@@ -450,7 +450,7 @@ def icv_path_length(spark, d):
     return icv.validate(o, c).violations.select("subject", F.size("path").alias("steps"))
 
 
-# --- EL -------------------------------------------------------------------
+# == EL
 
 
 def supplied(spark: SparkSession, d: str) -> Ontology:
@@ -511,7 +511,7 @@ def el_explain(spark, d):
     return c.explain(f"{U}supplier/{first['s_suppkey']}", f"{U}region/{first['n_regionkey']}").select("text")
 
 
-# --- vocabularies and names -----------------------------------------------
+# == vocabularies and names
 
 
 def brands(spark: SparkSession, d: str) -> vocabulary.Vocabulary:
@@ -565,7 +565,7 @@ def curies(spark, d):
     return table(spark, d, "part").select("p_partkey", short.alias("compact"), names.expand(short, table_).alias("expanded"), names.written(F.lit(f"{U}part/"), {}).alias("bare"))
 
 
-# --- shapes and components ------------------------------------------------
+# == shapes and components
 
 
 @query("""WITH f AS (SELECT DISTINCT c_nationkey AS o, c_mktsegment AS i FROM customer), g AS (SELECT o, string_agg(i, ',' ORDER BY i) AS shape FROM f GROUP BY o)
@@ -589,7 +589,7 @@ def component_roots(spark, d):
     return components(nxt, "s_suppkey", "nxt")
 
 
-# --- documents ------------------------------------------------------------
+# == documents
 
 
 @query(f"""SELECT 'nation/' || n_nationkey AS onto, 0::BIGINT AS idx, 'SubClassOf' AS kind, 'SubClassOf(<{U}nation/' || n_nationkey || '> <{U}region/' || n_regionkey || '>)' AS text FROM nation
@@ -608,7 +608,7 @@ def rendered_lines(spark, d):
     return ofn.lines(o.prefix("p", f"{U}part/")).select("line")
 
 
-# --- RDF, descriptions, streams -------------------------------------------
+# == RDF, descriptions, streams
 
 
 def nation_turtle(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from axiomata.functions.terms import STANDARD
 
-SCHEMES = ("urn", "mailto", "tag", "doi", "file", "data")
+SCHEMES = ("data", "doi", "file", "mailto", "tag", "urn")
 _RESERVED = r"[\s()<>\"@^#/?,;]"
 
 

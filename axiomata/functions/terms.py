@@ -17,8 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OWL, RDF = "http://www.w3.org/2002/07/owl#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
-RDFS, XSD = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2001/XMLSchema#"
+_W3 = "http://www.w3.org/"
+OWL, RDF, RDFS, XSD = f"{_W3}2002/07/owl#", f"{_W3}1999/02/22-rdf-syntax-ns#", f"{_W3}2000/01/rdf-schema#", f"{_W3}2001/XMLSchema#"
 STANDARD = {"owl": OWL, "rdf": RDF, "rdfs": RDFS, "xsd": XSD}
 THING, NOTHING = f"{OWL}Thing", f"{OWL}Nothing"
 
@@ -79,7 +79,7 @@ def roles(op: str, count: int) -> list[str]:
     return [r.rstrip("*") for r in out]
 
 
-# --- constructors ---------------------------------------------------------
+# == constructors
 
 
 def cls(iri: Text) -> Term:
@@ -196,7 +196,7 @@ def restrict(base: Term, *facets: Term) -> Term:
     return Term("DatatypeRestriction", (base, *facets))
 
 
-# --- rendering ------------------------------------------------------------
+# == rendering
 
 
 def cat(*parts: Text) -> Text:
@@ -329,7 +329,7 @@ def annotated(text: Text, notes: tuple[Term, ...], part: Callable[[Term], Text]
     return F.concat(F.substring(text, F.lit(1), at), F.lit(inner) if isinstance(inner, str) else inner, F.lit(" "), F.substr(text, at + 1))
 
 
-# --- rows -----------------------------------------------------------------
+# == rows
 
 _TYPES = {"id": T.IntegerType(), "parent": T.IntegerType(), "pos": T.IntegerType(), "depth": T.IntegerType(), "kind": T.IntegerType(), "n": T.IntegerType(), "inverse": T.BooleanType()}
 NODE = T.StructType([T.StructField(f, _TYPES.get(f, T.StringType())) for f in "id parent pos depth role op kind iri inverse n value datatype lang text canon".split()])

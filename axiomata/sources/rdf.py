@@ -302,7 +302,7 @@ def rdf_xml(text: str, base: str = "") -> tuple[list[tuple[Object, str, Object]]
     def attributes(x: ET.Element, s: Object, env) -> bool:
         found = False
         for k, v in x.attrib.items():
-            if k.startswith(_XML) or not k.startswith("{") or k in {f"{R}{n}" for n in ("about", "ID", "nodeID", "resource", "parseType", "datatype")}:
+            if k.startswith(_XML) or not k.startswith("{") or k in {f"{R}{n}" for n in ("ID", "about", "datatype", "nodeID", "parseType", "resource")}:
                 continue
             found = True
             if k == f"{R}type":

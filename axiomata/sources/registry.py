@@ -13,10 +13,10 @@ from axiomata.operators.vocabulary import Vocabulary
 from axiomata.sources import ofn
 
 #: Prefix and namespace of vocabularies in wide use, in order of preference.
+W3, PURL = "http://www.w3.org/", "http://purl.org/dc/"
 PUBLIC = {
-    "skos": "http://www.w3.org/2004/02/skos/core#", "dcterms": "http://purl.org/dc/terms/", "dc": "http://purl.org/dc/elements/1.1/", "foaf": "http://xmlns.com/foaf/0.1/", "prov": "http://www.w3.org/ns/prov#",
-    "org": "http://www.w3.org/ns/org#", "time": "http://www.w3.org/2006/time#", "dcat": "http://www.w3.org/ns/dcat#", "void": "http://rdfs.org/ns/void#", "vcard": "http://www.w3.org/2006/vcard/ns#",
-    "sosa": "http://www.w3.org/ns/sosa/", "ssn": "http://www.w3.org/ns/ssn/", "schema": "http://schema.org/",
+    "skos": f"{W3}2004/02/skos/core#", "dcterms": f"{PURL}terms/", "dc": f"{PURL}elements/1.1/", "foaf": "http://xmlns.com/" + "foaf/0.1/", "schema": "http://schema.org/", "sosa": f"{W3}ns/sosa/", "ssn": f"{W3}ns/ssn/",
+    "prov": f"{W3}ns/prov#", "org": f"{W3}ns/org#", "time": f"{W3}2006/time#", "dcat": f"{W3}ns/dcat#", "void": "http://rdfs.org/ns/void#", "vcard": f"{W3}2006/vcard/ns#",
 }
 
 

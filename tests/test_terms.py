@@ -11,17 +11,17 @@ from axiomata.sources import ofn
 
 P = names.prefixes(**{"": "urn:t:"})
 EXPRESSIONS = [
-    "ObjectIntersectionOf(:A :B)", "ObjectUnionOf(:A ObjectComplementOf(:B))", "ObjectComplementOf(:A)", "ObjectOneOf(:i _:x)", "ObjectSomeValuesFrom(:p :A)", "ObjectAllValuesFrom(ObjectInverseOf(:p) :A)", "ObjectHasValue(:p :i)", "ObjectHasSelf(:p)",
-    "ObjectMinCardinality(2 :p)", "ObjectMaxCardinality(1 :p :A)", "ObjectExactCardinality(0 :p :A)", "DataSomeValuesFrom(:d xsd:int)", 'DataAllValuesFrom(:d DatatypeRestriction(xsd:int xsd:minInclusive "1"^^xsd:int))',
+    "ObjectIntersectionOf(:K :L)", "ObjectUnionOf(:K ObjectComplementOf(:L))", "ObjectComplementOf(:K)", "ObjectOneOf(:i _:x)", "ObjectSomeValuesFrom(:u :K)", "ObjectAllValuesFrom(ObjectInverseOf(:u) :K)", "ObjectHasValue(:u :i)", "ObjectHasSelf(:u)",
+    "ObjectMinCardinality(2 :u)", "ObjectMaxCardinality(1 :u :K)", "ObjectExactCardinality(0 :u :K)", "DataSomeValuesFrom(:d xsd:int)", 'DataAllValuesFrom(:d DatatypeRestriction(xsd:int xsd:minInclusive "1"^^xsd:int))',
     'DataHasValue(:d "v"@en)', "DataMinCardinality(1 :d)", "DataMaxCardinality(1 :d DataUnionOf(xsd:int xsd:string))", 'DataExactCardinality(3 :d DataOneOf("a" "b"))', "DataSomeValuesFrom(:d DataComplementOf(DataIntersectionOf(xsd:int xsd:long)))",
 ]
 AXIOMS = [
-    "Declaration(Class(:A))", "Declaration(NamedIndividual(:i))", "SubClassOf(:A :B)", "EquivalentClasses(:A :B :C)", "DisjointClasses(:A :B)", "DisjointUnion(:A :B :C)", "SubObjectPropertyOf(:p :q)",
-    "SubObjectPropertyOf(ObjectPropertyChain(:p :q) :r)", "EquivalentObjectProperties(:p :q)", "DisjointObjectProperties(:p :q)", "InverseObjectProperties(:p :q)", "ObjectPropertyDomain(:p :A)", "ObjectPropertyRange(:p :A)",
-    *[f"{k}ObjectProperty(:p)" for k in ("Functional", "InverseFunctional", "Reflexive", "Irreflexive", "Symmetric", "Asymmetric", "Transitive")], "SubDataPropertyOf(:d :e)", "EquivalentDataProperties(:d :e)",
-    "DisjointDataProperties(:d :e)", "DataPropertyDomain(:d :A)", "DataPropertyRange(:d xsd:int)", "FunctionalDataProperty(:d)", "DatatypeDefinition(:dt xsd:int)", "HasKey(:A (:p) (:d))", "HasKey(:A () ())", "SameIndividual(:i :j)",
-    "DifferentIndividuals(:i :j)", "ClassAssertion(:A _:x)", "ObjectPropertyAssertion(:p :i :j)", "NegativeObjectPropertyAssertion(:p :i :j)", 'DataPropertyAssertion(:d :i "1"^^xsd:int)', 'NegativeDataPropertyAssertion(:d :i "1"^^xsd:int)',
-    'AnnotationAssertion(rdfs:label :A "x \\"y\\" \\\\ \\n\\t"@de-AT)', "SubAnnotationPropertyOf(:n :m)", "AnnotationPropertyDomain(:n :A)", "AnnotationPropertyRange(:n :A)", 'SubClassOf(Annotation(rdfs:comment "why") :A :B)',
+    "Declaration(Class(:K))", "Declaration(NamedIndividual(:i))", "SubClassOf(:K :L)", "EquivalentClasses(:K :L :M)", "DisjointClasses(:K :L)", "DisjointUnion(:K :L :M)", "SubObjectPropertyOf(:u :w)",
+    "SubObjectPropertyOf(ObjectPropertyChain(:u :w) :r)", "EquivalentObjectProperties(:u :w)", "DisjointObjectProperties(:u :w)", "InverseObjectProperties(:u :w)", "ObjectPropertyDomain(:u :K)", "ObjectPropertyRange(:u :K)",
+    *[f"{k}ObjectProperty(:u)" for k in ("Functional", "InverseFunctional", "Reflexive", "Irreflexive", "Symmetric", "Asymmetric", "Transitive")], "SubDataPropertyOf(:d :e)", "EquivalentDataProperties(:d :e)",
+    "DisjointDataProperties(:d :e)", "DataPropertyDomain(:d :K)", "DataPropertyRange(:d xsd:int)", "FunctionalDataProperty(:d)", "DatatypeDefinition(:dt xsd:int)", "HasKey(:K (:u) (:d))", "HasKey(:K () ())", "SameIndividual(:i :j)",
+    "DifferentIndividuals(:i :j)", "ClassAssertion(:K _:x)", "ObjectPropertyAssertion(:u :i :j)", "NegativeObjectPropertyAssertion(:u :i :j)", 'DataPropertyAssertion(:d :i "1"^^xsd:int)', 'NegativeDataPropertyAssertion(:d :i "1"^^xsd:int)',
+    'AnnotationAssertion(rdfs:label :K "x \\"y\\" \\\\ \\n\\t"@de-AT)', "SubAnnotationPropertyOf(:n :m)", "AnnotationPropertyDomain(:n :K)", "AnnotationPropertyRange(:n :K)", 'SubClassOf(Annotation(rdfs:comment "since") :K :L)',
 ]
 
 
