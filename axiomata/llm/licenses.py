@@ -50,7 +50,7 @@ _FRAMES = (
     "Copyright 2020 The Authors. Licensed under the {}.", "The contents are licensed under {}, see the license file for details.", "License: {}", "Code in this repository is released under license {}.",
 )
 _BODIES: dict[str, tuple[str, ...]] = {
-    "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",),
+    "mit": ("Permission is hereby granted, free of charge, to any person with this software, to deal in the Software without restriction.",),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     "apache": ("You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",),
     "gpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "You should have received a copy of the GNU General Public License along with this program."),

@@ -34,7 +34,7 @@ _LIMIT32, _LIMIT16 = 0xFFFFFFFF, 0xFFFF
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-# --- ZIP packages ---------------------------------------------------------
+# == ZIP packages
 
 
 class ZipWriter:
@@ -140,7 +140,7 @@ def zip_members(source) -> dict[str, tuple[int, int]]:
     return found
 
 
-# --- WARC records ---------------------------------------------------------
+# == WARC records
 
 
 def digest_text(raw: bytes) -> str:
@@ -184,7 +184,7 @@ def parse_record(packed: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-# --- Spark ----------------------------------------------------------------
+# == Spark
 
 
 def _roles(pages: DataFrame, scratch: Scratch, min_bytes: int) -> DataFrame:
