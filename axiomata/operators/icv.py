@@ -100,6 +100,8 @@ class Model:
         raise ValueError(f"{e.op} is not checked")
 
     def _related(self, e: Term, how: str) -> DataFrame:
+        if e.args[1].op == "Class" and e.args[1].iri == t.THING:  # whatever a fact names is in the domain
+            return self.edges(e.args[0]).filter(F.lit(how == "left_semi"))
         return self.edges(e.args[0]).join(self.extension(e.args[1]).select(F.col("x").alias("y")), "y", how)
 
     def show(self, c: Column) -> Column:
