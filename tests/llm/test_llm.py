@@ -490,6 +490,28 @@ def test_cross_parsing_equals_substring_search():
         assert lmscore.SuffixAutomaton(ref).phrases(text) == brute_phrases(text, ref)
 
 
+def test_suffix_array_finds_the_same_phrases():
+    draw = random.Random(10)
+    for n in [0, 1, 2, 3, 40, 300, 300, 3000]:
+        for letters in (b"a", b"ab", b"abc\n\x00\xff"):
+            ref = bytes(draw.choice(letters) for _ in range(n))
+            text = bytes(draw.choice(letters + b"z") for _ in range(300)) + ref[n // 3 :] * 2
+            assert lmscore.SuffixArray(ref).phrases(text) == lmscore.SuffixAutomaton(ref).phrases(text)
+
+
+def test_reference_documents_are_used_whole(spark):
+    draw = random.Random(3)
+    rows = [(i, "".join(draw.choice("abcdefgh ") for _ in range(500))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # every document is reference text; the cap was 100 bytes a shard
+    got = {r["id"]: r for r in lmscore.lm_scores(spark, docs, docs_per_shard=20, reference_docs=20, reference_bytes=100).collect()}
+    for shard in (0, 1):
+        own, other = ([i for i, r in got.items() if r["shard"] == s] for s in (shard, 1 - shard))
+        assert {got[i]["reference_size"] for i in own} == {501 * len(other) - 1}
+        text = dict(rows)
+        assert all(got[i]["phrases"] <= max(brute_phrases(text[i].encode(), text[j].encode()) for j in other) for i in own)
+
+
 def test_own_parse():
     assert lmscore.own_phrases(b"aaaaaa") == 3 and lmscore.own_phrases(b"") == 0 and lmscore.own_phrases(b"abab") == 3
 
