@@ -531,6 +531,17 @@ def test_lm_scores_prefer_text_like_the_corpus(spark, odd, none):
     assert lmscore.lm_scores(spark, none).count() == 0
 
 
+def test_small_tables_draw_references_by_the_same_rule(spark):
+    rows = [(i, f"text {i} " * 20) for i in range(120)] + [(None, f"none {i} " * 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lmscore.lm_scores(spark, docs, docs_per_shard=100, reference_docs=2).toPandas()
+    # one in 50 and at least one of each shard; all 160 before
+    assert got.groupby("shard").reference_size.first().between(1, 12 * 200).all()
+    far = spark.createDataFrame([(i, f"text {i}" if lone else "") for i in range(90) for lone in [i in (1, 2, 3)]], "doc_id long, text string")
+    got = lmscore.lm_scores(spark, far, docs_per_shard=10, reference_docs=1).toPandas()
+    assert got.shard.nunique() == 9 and (got[got.n_bytes == 0].reference_size > 0).sum() > 60
+
+
 # --- pipeline
 
 
