@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from axiomata.llm.components import connected_components
 from axiomata.llm.scratch import Scratch
+from axiomata.llm.shingles import features, set_links
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 
@@ -118,18 +119,25 @@ def _ball_stars(fps: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
     return joined.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, dense: int = 512) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, dense: int = 512, similar: float | None = None) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most ``radius`` bits.
 
+    With ``similar``, five-word shingle sets of at least that Jaccard similarity are linked too.
     Null and empty texts have fingerprint 0 and link like any other. Rows that
     repeat an id keep their own fingerprints. Null ids take part in linking
     but never name a component unless no other id is there. An empty table
     gives no rows.
     """
     scratch = Scratch(spark, "simhash")
-    own = scratch.keep(fingerprints(docs, id_col, text_col), "fingerprints")
+    if similar is None:
+        own = scratch.keep(fingerprints(docs, id_col, text_col), "fingerprints")
+    else:
+        wide = scratch.keep(features(docs, id_col, text_col), "features")
+        own = wide.select("id", "fp")
     least = scratch.keep(own.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     links = scratch.keep(near_links(least.select("fp"), scratch, radius, dense), "links")
+    if similar is not None:
+        links = links.unionByName(set_links(wide, scratch, similar))
     # same id, several fingerprints: the id joins them
     twice = own.filter("id is not null").groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).filter("n > 1 and a <> b")
     if not twice.isEmpty():
@@ -142,14 +150,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return own.join(final, own["fp"] == final["f"]).select("id", "fp", "component")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similar: float | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, that lead their near-duplicate component.
 
     The leader has the smallest id; the others are dropped by an anti join
     with their ids, which are fewer than those that stay. Rows that repeat a
     leading id are all kept, and so are rows without an id, as nothing names them a copy.
     """
-    found = near_duplicates(spark, docs, id_col, text_col, radius)
+    found = near_duplicates(spark, docs, id_col, text_col, radius, similar=similar)
     copies = found.filter("id <> component").select(F.col("id").alias("__copy")).distinct()
     copies = Scratch(spark, "copies").keep(copies, "ids")
     return docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")

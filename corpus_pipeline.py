@@ -17,6 +17,8 @@ from axiomata.llm.scratch import Scratch
 KEEP_QUALITY = 0.3
 #: Documents whose language is less sure than this are rejected (as are those without a letter).
 KEEP_LANGUAGE = 0.5
+#: Texts whose sets of five-word shingles are this similar (Jaccard) are near copies, as are those within op4's radius.
+NEAR = 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each near-duplicate component."""
-    return simhash.deduplicate(spark, docs)
+    return simhash.deduplicate(spark, docs, similar=NEAR)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

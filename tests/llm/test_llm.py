@@ -273,6 +273,27 @@ def test_deduplicate_keeps_columns_and_leaders(spark, odd):
     assert ids.count(None) == 1 and 1 in ids and 2 not in ids and 3 in ids and 4 not in ids and 5 not in ids
 
 
+def test_near_copies_by_shingles(spark):
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for base in range(30):
+        text = [draw.choice(words) for _ in range(200)]
+        rows.append((len(rows), " ".join(text)))
+        for edits in (1, 2, 3, 4, 5, 8, 20):
+            other = list(text)
+            for at in draw.sample(range(200), edits):
+                other[at] = draw.choice(words)
+            rows.append((len(rows), " ".join(other)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["id"]: r["component"] for r in simhash.near_duplicates(spark, docs, similar=0.8).collect()}
+    bits = {r["id"]: r["component"] for r in simhash.near_duplicates(spark, docs).collect()}
+    assert len(near) > 60 and all(whole[i] == whole[j] for i, j in near) and any(bits[i] != bits[j] for i, j in near)
+    assert all(rows[i][1] and i // 8 == c // 8 for i, c in whole.items())
+
+
 # --- 5
 
 
