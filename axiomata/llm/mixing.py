@@ -158,10 +158,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
 
 
 def mixed_rows(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs``, all columns kept, with copies and taken; texts are counted again rather than shuffled."""
+    """The rows of ``docs`` that the mix takes, all columns kept, with copies (how often) and taken; texts are counted again rather than shuffled."""
     scratch = Scratch(spark, "mixing")
     base = scratch.keep(sizes(docs, id_col, text_col, source_col), "sizes")
     kept = [c for c in docs.columns if c not in ("copies", "taken")]
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
     out = fit(spark, base, scratch, weights, share, cap).apply(wide, "id", "source", "size")
-    return out.select("row.*", "copies", "taken")
+    return out.filter("copies > 0").select("row.*", "copies", "taken")

@@ -48,7 +48,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the copies that bring each source to its target: columns ``copies`` and ``taken``."""
+    """Drop what the mix leaves out; one row a document, with how often it counts for its source to meet the target: columns ``copies`` and ``taken``."""
     return mixing.mixed_rows(spark, docs)
 
 

@@ -566,6 +566,15 @@ def test_small_tables_draw_references_by_the_same_rule(spark):
 # --- pipeline
 
 
+def test_mixed_rows_hold_the_mix(spark):
+    rows = [(i, "word " * (5 + i % 40), "en", "abc"[i % 3 if i % 2 else 0], 1) for i in range(300)] + [(900, "", "en", "a", 0), (901, None, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = {r["id"]: r["copies"] for r in mixing.mix(spark, docs).collect() if r["copies"]}
+    got = mixing.mixed_rows(spark, docs).collect()
+    assert {r["doc_id"]: r["copies"] for r in got} == want and len(got) == len(want)
+    assert {0, 2} <= {want.get(i, 0) for i in range(300)}
+
+
 def test_pipeline_against_its_operators(spark):
     import corpus_pipeline
 
