@@ -493,74 +493,92 @@ def test_recall_on_the_real_table(spark):
 # --- 10
 
 
-def brute_phrases(text, reference):
-    n = at = 0
-    while at < len(text):
+def brute_phrases(part, others):
+    """Greedy cover of a list of words by the longest runs that occur in another text's parts."""
+    lines = [f" {' '.join(o)} " for o in others]
+    at = n = 0
+    while at < len(part):
         k = 1
-        while at + k < len(text) and text[at : at + k + 1] in reference and text[at : at + k] in reference:
+        while at + k < len(part) and any(f" {' '.join(part[at : at + k + 1])} " in line for line in lines):
             k += 1
         at += k
         n += 1
     return n
 
 
-def test_cross_parsing_equals_substring_search():
-    draw = random.Random(9)
-    for _ in range(200):
-        ref, text = (bytes(draw.choice(b"abc") for _ in range(draw.randint(0, 40))), bytes(draw.choice(b"abcd") for _ in range(draw.randint(0, 60))))
-        assert lmscore.SuffixAutomaton(ref).phrases(text) == brute_phrases(text, ref)
-
-
-def test_suffix_array_finds_the_same_phrases():
-    draw = random.Random(10)
-    for n in [0, 1, 2, 3, 40, 300, 300, 3000]:
-        for letters in (b"a", b"ab", b"abc\n\x00\xff"):
-            ref = bytes(draw.choice(letters) for _ in range(n))
-            text = bytes(draw.choice(letters + b"z") for _ in range(300)) + ref[n // 3 :] * 2
-            assert lmscore.SuffixArray(ref).phrases(text) == lmscore.SuffixAutomaton(ref).phrases(text)
+def brute_own(words):
+    seen, phrase, n = {()}, (), 0
+    for w in words:
+        phrase += (w,)
+        if phrase not in seen:
+            seen.add(phrase)
+            phrase, n = (), n + 1
+    return n + bool(phrase)
 
 
-def test_reference_documents_are_used_whole(spark):
-    draw = random.Random(3)
-    rows = [(i, "".join(draw.choice("abcdefgh ") for _ in range(500))) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    # every document is reference text; the cap was 100 bytes a shard
-    got = {r["id"]: r for r in lmscore.lm_scores(spark, docs, docs_per_shard=20, reference_docs=20, reference_bytes=100).collect()}
-    for shard in (0, 1):
-        own, other = ([i for i, r in got.items() if r["shard"] == s] for s in (shard, 1 - shard))
-        assert {got[i]["reference_size"] for i in own} == {501 * len(other) - 1}
-        text = dict(rows)
-        assert all(got[i]["phrases"] <= max(brute_phrases(text[i].encode(), text[j].encode()) for j in other) for i in own)
+def test_cross_parsing_equals_search():
+    draw = random.Random(9)
+    for trial in range(150):
+        letters = "abc" if trial % 2 else "abcdefghijkl"
+        parts = [[draw.choice(letters) for _ in range(draw.randint(0, 25))] for _ in range(draw.randint(1, 7))]
+        owners = list(np.cumsum([0] + [draw.randint(0, 1) for _ in parts[1:]]))
+        owners = [int(o) for o in owners]
+        for p, o, (cross, own) in zip(parts, owners, lmscore.cross_parse(parts, owners)):
+            assert cross == brute_phrases(p, [q for q, w in zip(parts, owners) if w != o]) and own == brute_own(p)
 
 
-def test_own_parse():
-    assert lmscore.own_phrases(b"aaaaaa") == 3 and lmscore.own_phrases(b"") == 0 and lmscore.own_phrases(b"abab") == 3
+def test_symbols():
+    assert lmscore.symbols("a  b\x1cc\n d") == ["a", "b\x1cc", "d"] and lmscore.symbols("né ein\u00a0x") == ["né", "ein\u00a0x"]
+    assert lmscore.symbols("ab漢字cd 文") == ["ab", "漢", "字", "cd", "文"] and lmscore.symbols(" ") == []
 
 
-def test_lm_scores_prefer_text_like_the_corpus(spark, odd, none):
+def test_lm_scores_equal_brute_force(spark, odd, none):
     draw = random.Random(0)
-    words = ["river", "house", "under", "stone", "walk", "green", "every", "night"]
-    rows = [(i, " ".join(draw.choice(words) for _ in range(60))) for i in range(200)]
-    rows += [(1000 + i, "".join(draw.choice("qxzjkvwy0123456789#") for _ in range(300))) for i in range(10)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lmscore.lm_scores(spark, docs, docs_per_shard=64, reference_docs=32, reference_bytes=8000).toPandas()
-    assert len(got) == 210 and got[got.id >= 1000].cross_entropy.min() > got[got.id < 1000].cross_entropy.max()
-    again = lmscore.lm_scores(spark, docs.repartition(5), docs_per_shard=64, reference_docs=32, reference_bytes=8000).toPandas()
-    assert got.sort_values("id").reset_index(drop=True).equals(again.sort_values("id").reset_index(drop=True))
-    few = lmscore.lm_scores(spark, odd).collect()
-    assert len(few) == len(ODD) and all(r["cross_entropy"] == 0 for r in few if r["n_bytes"] == 0)
-    assert lmscore.lm_scores(spark, none).count() == 0
-
-
-def test_small_tables_draw_references_by_the_same_rule(spark):
-    rows = [(i, f"text {i} " * 20) for i in range(120)] + [(None, f"none {i} " * 20) for i in range(40)]
+    rows = [(i, " ".join(draw.choice(["river", "house", "under", "stone", "walk", f"w{draw.randint(0, 300)}"]) for _ in range(draw.randint(1, 60)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(4)] + [(None, rows[0][1]), (None, "alone here"), (200, rows[5][1] + " end"), (201, None), (202, " \n")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h1 int")
+    got = lmscore.lm_scores(spark, docs).collect()
+    texts = {t: t.split() for _, t in rows if t and t.split()}
+    whole = sum(map(len, texts.values()))
+    expected = []
+    for i, t in rows:
+        w = texts.get(t, [])
+        if not w:
+            expected.append((i, len(t or ""), 0, 0, 0, 0, 0, 0.0, 0.0))
+            continue
+        n, again = sum(u == t for _, u in rows), sum(u == t for _, u in rows) > 1
+        r = whole - len(w) + (len(w) if again else 0)
+        c, o = 1 if again else brute_phrases(w, [v for u, v in texts.items() if u != t]), brute_own(w)
+        expected.append((i, len(t), len(w), n, r, c, o, c * math.log2(r) / len(w), (c * math.log2(len(w)) - o * math.log2(o)) / len(w)))
+    assert len(got) == len(expected)
+    key = lambda r: str(tuple(r)[:7])
+    for g, x in zip(sorted(got, key=key), sorted(expected, key=key)):
+        assert tuple(g)[:7] == tuple(x)[:7] and tuple(g)[7:] == pytest.approx(tuple(x)[7:])
+    assert lmscore.lm_scores(spark, none).count() == 0 and lmscore.lm_scores(spark, odd).count() == len(ODD)
+
+
+def test_lm_scores_over_many_shards(spark):
+    draw = random.Random(1)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, f"{common} " + " ".join(f"w{draw.randint(0, 200)}" for _ in range(40))) for i in range(300)] + [(1000 + i, " ".join(f"z{draw.randint(0, 10**6)}" for _ in range(60))) for i in range(20)]
+    rows += [(2000, "x " * 150_000 + "end")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lmscore.lm_scores(spark, docs, docs_per_shard=100, reference_docs=2).toPandas()
-    # one in 50 and at least one of each shard; all 160 before
-    assert got.groupby("shard").reference_size.first().between(1, 12 * 200).all()
-    far = spark.createDataFrame([(i, f"text {i}" if lone else "") for i in range(90) for lone in [i in (1, 2, 3)]], "doc_id long, text string")
-    got = lmscore.lm_scores(spark, far, docs_per_shard=10, reference_docs=1).toPandas()
-    assert got.shard.nunique() == 9 and (got[got.n_bytes == 0].reference_size > 0).sum() > 60
+    got = lmscore.lm_scores(spark, docs, shard_bytes=6000).toPandas().set_index("id")
+    assert len(got) == 321 and got.reference_words[got.index < 300].max() < 12_000
+    # the common passage is one phrase wherever its texts were spread
+    assert (got.phrases[got.index < 300] <= 41).mean() > 0.9 and (got.phrases[(got.index >= 1000) & (got.index < 2000)] == 60).all()
+    assert got.n_words[2000] == 150_001 and got.cross_entropy[got.index < 300].max() < got.cross_entropy[(got.index >= 1000) & (got.index < 2000)].median() + 8
+    again = lmscore.lm_scores(spark, docs.repartition(5), shard_bytes=6000).toPandas().set_index("id")
+    assert got.sort_index().equals(again.sort_index())
+
+
+def test_attach_splits_large_groups(spark):
+    from axiomata.llm.attach import attach
+
+    rows = spark.range(5000).selectExpr("id", "if(id < 3000, 0, id) as k")
+    facts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    got = attach(rows, facts, ["k"], "n", 5000).collect()
+    assert len(got) == 5000 and {(r["k"], r["n"]) for r in got} == {(0, 3000)} | {(i, 1) for i in range(3000, 5000)}
 
 
 # --- pipeline
