@@ -383,10 +383,65 @@ def test_forward_sums_all_segmentations():
             out += p * total(word[n:])
         return out
 
-    words = ["a", "ab", "abab", "ababa", "cab", "bbbb", "abaabacab", "a" * 30]
-    got = model.log_likelihoods(words)[:, 0]
-    assert got[:-1] == pytest.approx([math.log(total(w)) for w in words[:-1]])
-    assert got[-1] == pytest.approx(math.log(total("a" * 24)) + math.log(total("a" * 6)))
+    words = ["a", "ab", "abab", "ababa", "cab", "bbbb", "abaabacab"]
+    assert model.log_likelihoods(words)[:, 0] == pytest.approx([math.log(total(w)) for w in words])
+
+
+def log_total(model, word, column):
+    """The sum over all segmentations in plain logarithms."""
+    probs = dict(zip(model.pieces, model.probs[:, column]))
+    sums = [0.0]
+    for end in range(1, len(word) + 1):
+        terms = [sums[end - n] + math.log(probs[word[end - n : end]]) for n in range(1, min(end, model.longest) + 1) if word[end - n : end] in probs]
+        if word[end - 1] not in probs:
+            terms.append(sums[end - 1] + math.log(model.probs[-1, column]))
+        top = max(terms)
+        sums.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return sums[-1]
+
+
+def test_language_posteriors_equal_brute_force(spark, monkeypatch):
+    draw = random.Random(8)
+    pieces = ["a", "b", "ab", "ba", "aba", "abbab", "bbbbbbbb", "abababababab", "c"]
+    probs = np.random.default_rng(1).dirichlet(np.ones(10), 3).T
+    model = langid.Model(["x", "y", "z"], pieces, probs)
+    words = ["".join(draw.choice("abcd") for _ in range(n)) for n in (1, 2, 3, 11, 30, 31, 45, 200, 1500)] + ["漢字" * 20, "b" * 700]
+    expected = [[log_total(model, w, i) for i in range(3)] for w in words]
+    assert np.allclose(model.log_likelihoods(words), expected, rtol=1e-9)
+    monkeypatch.setattr(langid, "LETTERS", 120)  # long words in windows
+    assert np.allclose(model.log_likelihoods(words), expected, rtol=1e-9)
+    texts = [" ".join(draw.choice(words) for _ in range(3)) for _ in range(10)] + [words[4].upper() + "1" + words[0], "12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in langid.identify(docs, model).collect():
+        own = [sum(log_total(model, w, i) for w in langid.WORD.findall(texts[r["id"]].lower())) for i in range(3)]
+        if not any(own):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        odds = [math.exp(v - max(own)) for v in own]
+        assert r["lang_pred"] == "xyz"[own.index(max(own))] and r["score"] == pytest.approx(max(odds) / sum(odds))
+
+
+def test_expected_uses_equal_enumeration():
+    model = langid.Model(["x"], ["a", "b", "ab", "aba"], np.array([[0.3], [0.2], [0.2], [0.25], [0.05]]))
+
+    def ways(word):
+        if not word:
+            return [((), 1.0)]
+        out = []
+        for n in range(1, len(word) + 1):
+            i = model.pieces.index(word[:n]) if word[:n] in model.pieces else 4 if n == 1 else None
+            if i is not None:
+                out += [((i, *rest), model.probs[i, 0] * p) for rest, p in ways(word[n:])]
+        return out
+
+    words, weights = ["abab", "cab", "abaaba", "b"], np.array([2.0, 1.0, 3.0, 1.0])
+    expected = np.zeros(5)
+    for w, k in zip(words, weights):
+        all_ = ways(w)
+        for path, p in all_:
+            for i in path:
+                expected[i] += k * p / sum(q for _, q in all_)
+    assert langid._expectation(model, words, weights, 0) == pytest.approx(expected)
 
 
 def test_language_accuracy_and_odd_texts(spark, odd, none):
