@@ -117,16 +117,71 @@ def test_zip_members_agree_with_zipfile(wide):
     assert {n: raw[o : o + s] for n, (o, s) in members.items()} == names
 
 
-def test_zip_members_reject_damage():
+def test_zip_members_of_other_tools():
     import zipfile
 
     with pytest.raises(ValueError):
         warc.zip_members(pa.BufferReader(b"nothing here at all, not even a directory"))
+    with pytest.raises(ValueError):
+        warc.zip_members(pa.BufferReader(b"x" * 100 + b"PK\5\6" + b"\xff" * 18))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("x", "y" * 1000)
+        z.writestr(zipfile.ZipInfo("stored"), b"PK\5\6 inside")
+        z.comment = b"a comment with PK\5\6" + b"\xff" * 30
+    raw = b"bytes before the archive" + out.getvalue()
+    members = warc.zip_members(pa.BufferReader(raw))
+    assert {n: raw[o : o + s] for n, (o, s) in members.items()} == {"stored": b"PK\5\6 inside"}
     with pytest.raises(ValueError, match="compressed"):
-        warc.zip_members(pa.BufferReader(out.getvalue()))
+        warc.zip_members(pa.BufferReader(raw), lambda n: n == "x")
+    for cut in range(1, len(raw), 37):
+        with pytest.raises(ValueError):
+            warc.zip_members(pa.BufferReader(raw[:-cut]))
+    with pytest.raises(ValueError):
+        warc.zip_members(pa.BufferReader(raw.replace(b"PK\3\4", b"PK\3\5")))
+
+
+def foreign_record(kind, url, body, packed=True):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body if kind == "response" else body
+    head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Record-ID: <urn:x:{url}>\r\nContent-Type: {'application/http; msgtype=response' if kind == 'response' else 'text/plain'}\r\nContent-Length: {len(block)}\r\n\r\n"
+    raw = head.encode() + block + b"\r\n\r\n"
+    return gzip.compress(raw) if packed else raw
+
+
+@pytest.mark.parametrize("index", ["plain", "packed", "none"])
+def test_packages_of_other_tools_are_read(spark, tmp_path, index):
+    import gzip
+    import json
+    import zipfile
+
+    files = {"a.warc.gz": [("warcinfo", "i", b"software: x")] + [("response", f"http://a/{i}", b"body %d" % i * i) for i in range(5)], "b.warc": [("response", "http://b/0", b""), ("resource", "http://b/1", b"text")]}
+    lines = ['!meta {"format": "x"}']
+    with zipfile.ZipFile(f"{tmp_path}/p.wacz", "w") as z:
+        z.writestr("datapackage.json", "{}" * 500, zipfile.ZIP_DEFLATED)
+        for name, records in files.items():
+            data = b""
+            for kind, url, body in records:
+                one = foreign_record(kind, url, body, name.endswith("gz"))
+                lines.append(f"{url} 20200101000000 " + json.dumps({"url": url, "filename": name, "offset": str(len(data)), "length": len(one)}))
+                data += one
+            z.writestr(f"archive/{name}", data, zipfile.ZIP_STORED)
+        text = ("\n".join(sorted(lines, reverse=index == "packed")) + "\n").encode()
+        if index != "none":
+            z.writestr("indexes/index.cdx.gz" if index == "packed" else "indexes/index.cdxj", gzip.compress(text) if index == "packed" else text, zipfile.ZIP_STORED)
+        z.writestr("pages/pages.jsonl", "{}", zipfile.ZIP_DEFLATED)
+    packages = spark.createDataFrame([(f"file://{tmp_path}/p.wacz",)], "path string")
+    got = {r["url"]: (r["record_type"], bytes(r["payload"]) if r["payload"] is not None else None, r["page_id"]) for r in warc.read_records(warc.locate_records(packages), with_payload=True).collect()}
+    assert got == {u: (k, b if k != "warcinfo" else None, None) for records in files.values() for k, u, b in records}
+
+
+def test_warc_records_name_what_they_revisit(spark):
+    pages = spark.createDataFrame([("b\r\nX: 1", "u", "same"), ("", "v", "same"), ("a%0D", "w", "same"), (None, "n", "same")], "page_id string, url string, html string")
+    got = warc.read_records(warc.locate_records(warc.archive_pages(spark, pages)), with_payload=True).collect()
+    first = next(r for r in got if r["record_type"] == "response")
+    assert first["page_id"] == "" and bytes(first["payload"]) == b"same" and sorted((r["page_id"] for r in got), key=str) == sorted(["b\r\nX: 1", "", "a%0D", None], key=str)
+    assert all(r["refers_to"] == "" and r["refers_to_record"] == first["record_id"] for r in got if r is not first)
 
 
 # --- 2
