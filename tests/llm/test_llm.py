@@ -187,26 +187,50 @@ def test_warc_records_name_what_they_revisit(spark):
 # --- 2
 
 
-def test_licences_native_scores_equal_the_model(spark, odd, none):
-    model = licenses.train()
-    texts = ["x\nReleased under the MIT License.\ny", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "no notice", "A licence fee is due.", "", None, "SPDX-License-Identifier: BSD-2-Clause", "Licensed under the Zork License, Version 9"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
-    got = {r["id"]: r for r in licenses.scan(docs, model).collect()}
-    assert {i: r["family"] for i, r in got.items()} == {0: "mit", 1: "apache", 2: "gpl", 3: "cc-by-nc", 5: "unknown", 8: "bsd", 9: got[9]["family"]}
-    assert not got[9]["confirmed"] or got[9]["family"] != "unknown"
-    assert all(got[i]["confirmed"] for i in (0, 1, 2, 3, 8)) and got[0]["paragraph"] == 1
-    for r in got.values():
-        assert r["probability"] == pytest.approx(model.probabilities(r["notice"]).max(), abs=1e-9)
+@pytest.fixture(scope="module")
+def licence_model():
+    return licenses.train()
+
+
+def test_licences_native_scores_equal_the_model(spark, odd, none, licence_model):
+    model = licence_model
+    texts = [t for t, _ in licenses.notices()[::7]] + [f.format(x) for f in licenses._FRAMES for x in licenses._FOREIGN[1::4]]
+    texts += ["x\nReleased under the MIT License.\ny", "plain words\n\nGPLv3", "no notice", "", None, "x " * 50_000 + "\nSPDX-License-Identifier: BSD-2-Clause", "Licensed under the MIT License.", "Licensed under the MIT License."]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "Licensed under the MIT License.", 2), (3, "Licensed under the MIT License.", 2)], "doc_id int, text string, words int")
+    got = sorted(((r["id"], r["paragraph"], r["notice"], r["family"], r["probability"], r["template_similarity"], r["confirmed"]) for r in licenses.scan(docs, model).collect()), key=str)
+    expected = []
+    for i, t in [*enumerate(texts), (None, texts[-1]), (3, texts[-1])]:
+        for k, line in enumerate(t.split("\n") if t else []):
+            p = model.probabilities(line)
+            if p.argmax() < len(model.families) - 1:
+                family = model.families[p.argmax()] if p.max() >= 0.6 else "unknown"
+                near = model.similarity(line, family) if family != "unknown" else 0.0
+                expected.append((i, k, line, family, p.max(), near, near >= 0.5))
+    expected.sort(key=str)
+    assert len(got) == len(expected) > 100
+    key = lambda r: (str(r[0]), r[1], r[2], r[3])
+    for g, x in zip(sorted(got, key=key), sorted(expected, key=key)):
+        assert g[:4] == x[:4] and g[6] == x[6] and g[4:6] == pytest.approx(x[4:6], abs=1e-9)
     plan = licenses.scan(docs, model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert licenses.scan(odd, model).count() == 0 and licenses.scan(none, model).count() == 0
 
 
-def test_licences_on_names_never_seen():
-    model = licenses.train()
-    strange = [f.format(x) for f in licenses._FRAMES for x in licenses._FOREIGN[1::2]]
-    sure = [p for p in map(model.probabilities, strange) if p.argmax() != len(model.families) - 1 and p.max() >= 0.6]
-    assert len(sure) <= 0.25 * len(strange)
+def test_every_generated_notice_is_found(licence_model):
+    rows = [(t, f) for t, f in licenses.notices() if f in licenses.FAMILIES]
+    found = [licence_model.families[licence_model.probabilities(t).argmax()] for t, _ in rows]
+    assert "none" not in found and np.mean([f == g for (_, g), f in zip(rows, found)]) > 0.98
+    plain = [t for t, f in licenses.notices() if f == "none"]
+    assert np.mean([licence_model.probabilities(t)[-1] > 0.5 for t in plain]) > 0.97
+    strange = [licence_model.probabilities(f.format(x)) for f in licenses._FRAMES for x in licenses._FOREIGN[1::2]]
+    assert np.mean([p.argmax() < len(licence_model.families) - 2 and p.max() >= 0.6 for p in strange]) <= 0.25
+    assert licence_model.families[licence_model.probabilities("").argmax()] == "none"
+
+
+def test_wrapped_notices_are_one_paragraph(spark, licence_model):
+    text = "Some words here.\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\nNext"
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id int, text string"), licence_model).collect()
+    assert [(r["paragraph"], r["family"], r["confirmed"]) for r in got] == [(1, "bsd", True)] and got[0]["template_similarity"] == 1.0
 
 
 # --- 3
