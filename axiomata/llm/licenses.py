@@ -242,7 +242,7 @@ def train(rounds: int = 400, ridge: float = 1e-5, lasso: float = 2e-5) -> Licenc
     share = balance[own] / balance[own].mean()
     one_hot = np.eye(len(families))[y[own]]
     w, b = np.zeros((size, len(families))), np.zeros(len(families))
-    b[-1] = 2.0  # most paragraphs of a corpus are no notices
+    b[-1] = 3.0  # most paragraphs of a corpus are no notices
     wy, t = w, 1.0
     x = np.ones(size) / 64  # largest eigenvalue of the weighted Gram matrix, by powers
     for _ in range(30):
