@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from axiomata.llm.scratch import Scratch
 
 LEAF = 128
-LANES = 16
+#: A tile of the exact search: so many bytes of vectors (in 16 lanes at least) against so many blocks of queries.
+LANES, LANE_BYTES, GROUP = 16, 64 << 20, 32
 
 
 def chi_square_cdf(x: float, m: int) -> float:
@@ -87,51 +88,62 @@ def project(x: np.ndarray, lift: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return np.einsum("ij,jk->ik", x, planes[:-1]) + lift[:, None] * planes[-1]
 
 
-def search_cell(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp: np.ndarray, lift2: np.ndarray, big: float, k: int, quantile: float):
-    """The k best (row, inner product) of one cell for each query, by incremental projected search.
+class Cell:
+    """A cell's vectors with a kd-tree of their own, split at medians down to leaves."""
 
-    ``bound`` holds for each query a squared distance that k vectors elsewhere are
-    known not to exceed (infinite if none is known).
-    """
-    n = len(x)
-    order, groups = np.arange(n), [np.arange(n)]
-    while groups and max(map(len, groups)) > LEAF:  # the cell's own kd-tree, split at medians
-        nxt = []
-        for rows in groups:
-            if len(rows) <= LEAF:
-                nxt.append(rows)
-                continue
-            d = int(np.ptp(xp[rows], axis=0).argmax())
-            half = np.argpartition(xp[rows, d], len(rows) // 2)
-            nxt += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
-        groups = nxt
-    low = np.stack([xp[g].min(0) for g in groups])
-    high = np.stack([xp[g].max(0) for g in groups])
-    gap = np.maximum(0, np.maximum(low[None] - qp[:, None], qp[:, None] - high[None]))
-    near = (gap**2).sum(2)  # query x leaf: least squared projected distance
-    order = near.argsort(1, kind="stable")
-    best = np.full((len(q), k), -np.inf)
-    who = np.full((len(q), k), -1, np.int64)
-    q2 = (q**2).sum(1)
-    limit = bound.copy()
-    active = np.arange(len(q))
-    for rank in range(len(groups)):
-        leaf = order[active, rank]
-        go = near[active, leaf] <= quantile * limit[active]
-        active, leaf = active[go], leaf[go]
-        if not len(active):
-            break
-        for g in np.unique(leaf):
-            own = active[leaf == g]
-            rows = groups[g]
-            score = q[own] @ x[rows].T
-            both = np.concatenate([best[own], score], 1)
-            ids = np.concatenate([who[own], np.broadcast_to(rows, score.shape)], 1)
-            top = np.argpartition(-both, min(k, both.shape[1]) - 1, axis=1)[:, :k]
-            best[own], who[own] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
-            kth = best[own].min(1)
-            limit[own] = np.minimum(limit[own], np.where(np.isfinite(kth), np.maximum(0, q2[own] + big - 2 * kth), np.inf))
-    return who, best, limit
+    def __init__(self, x: np.ndarray, ids: list, big: float, planes: np.ndarray):
+        self.x, self.ids = x, ids
+        xp = project(x, np.sqrt(np.maximum(0, big - (x**2).sum(1))), planes)
+        groups = [np.arange(len(x))]
+        while max(map(len, groups)) > LEAF:
+            nxt = []
+            for rows in groups:
+                if len(rows) <= LEAF:
+                    nxt.append(rows)
+                    continue
+                d = int(np.ptp(xp[rows], axis=0).argmax())
+                half = np.argpartition(xp[rows, d], len(rows) // 2)
+                nxt += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
+            groups = nxt
+        self.groups = groups
+        self.low = np.stack([xp[g].min(0) for g in groups])
+        self.high = np.stack([xp[g].max(0) for g in groups])
+
+    def gap(self, qp: np.ndarray) -> np.ndarray:
+        """Least squared projected distance of each query to the cell."""
+        return (np.maximum(0, np.maximum(self.low.min(0) - qp, qp - self.high.max(0))) ** 2).sum(1)
+
+    def search(self, q: np.ndarray, qp: np.ndarray, bound: np.ndarray, big: float, k: int, quantile: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (row, inner product) for each query, by incremental projected search.
+
+        ``bound`` holds for each query a squared distance that k vectors elsewhere are
+        known not to exceed (infinite if none is known).
+        """
+        gap = np.maximum(0, np.maximum(self.low[None] - qp[:, None], qp[:, None] - self.high[None]))
+        near = (gap**2).sum(2)  # query x leaf: least squared projected distance
+        order = near.argsort(1, kind="stable")
+        best = np.full((len(q), k), -np.inf)
+        who = np.full((len(q), k), -1, np.int64)
+        q2 = (q**2).sum(1)
+        limit = bound.copy()
+        active = np.arange(len(q))
+        for rank in range(len(self.groups)):
+            leaf = order[active, rank]
+            go = near[active, leaf] <= quantile * limit[active]
+            active, leaf = active[go], leaf[go]
+            if not len(active):
+                break
+            for g in np.unique(leaf):
+                own = active[leaf == g]
+                rows = self.groups[g]
+                score = q[own] @ self.x[rows].T
+                both = np.concatenate([best[own], score], 1)
+                ids = np.concatenate([who[own], np.broadcast_to(rows, score.shape)], 1)
+                top = np.argpartition(-both, min(k, both.shape[1]) - 1, axis=1)[:, :k]
+                best[own], who[own] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
+                kth = best[own].min(1)
+                limit[own] = np.minimum(limit[own], np.where(np.isfinite(kth), np.maximum(0, q2[own] + big - 2 * kth), np.inf))
+        return who, best
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -139,18 +151,64 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _packed(df: DataFrame, by: list[str], most: int, width: int, extra: tuple[str, str]) -> DataFrame:
+    """Rows (by..., id-like column, v) packed by key into (by..., data binary, extra array); at most ``most`` vectors a row.
+
+    The rows come sorted by the key.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    name, kind = extra
+    item = to_arrow_type(df.schema[name].dataType)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, own, held = None, [], [], 0
+
+        def flush():
+            x = np.concatenate(rows)
+            return pa.RecordBatch.from_arrays([*[pa.array([k], pa.int64()) for k in key], pa.array([x.tobytes()], pa.binary()), pa.array([sum(own, [])], pa.list_(item))], names=[*by, "data", name])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(i).to_numpy() for i in range(len(by))], 1)
+            x, ids = _matrix(b.column(len(by) + 1)), b.column(len(by))
+            edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(edges, edges[1:]):
+                at = lo
+                while at < hi:
+                    here = tuple(keys[at].tolist())
+                    if key is not None and (key != here or held >= most):
+                        yield flush()
+                        rows, own, held = [], [], 0
+                    key = here
+                    to = min(hi, at + most - held)
+                    rows.append(x[at:to])
+                    own.append(ids[at:to].to_pylist())
+                    held += to - at
+                    at = to
+        if held:
+            yield flush()
+
+    columns = ", ".join(f"{c} long" for c in by)
+    return df.select(*by, name, "v").mapInArrow(pack, f"{columns}, data binary, {name} array<{kind}>")
+
+
 def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 12, confidence: float = 0.95, cell_rows: int = 2048, sample: int = 16_384, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query row, without its own row.
 
     ``score`` is the inner product in double precision; ties go to the smaller
     id. Vectors that are null, zero, or hold null or non-finite components take
-    no part, neither do rows without an id, and vectors whose length
-    is not the most frequent one. Equal vectors are indexed once with the k + 1 smallest of
+    no part, neither do rows without an id. Vectors of several lengths are searched length by
+    length: a query's candidates are those of its own length. Equal vectors are indexed once with the k + 1 smallest of
     their ids, which is all that can be returned. Rows that repeat an id and
     vector count once; queries that repeat one too. Too few candidates: all of them.
-    Fitted on at most ``sample`` vectors, the smallest by a hash.
+    The tree is fitted on at most ``sample`` vectors, the smallest by a hash.
+
+    Queries first meet their own cell, for a bound. Then tiles of cells and query blocks are searched:
+    a tile holds ``LANE_BYTES`` of vectors and ``GROUP`` query blocks, so vectors and queries travel once for each tile, and
+    in it the chi-square test leaves out cells and leaves.
     """
-    scratch = Scratch(spark, "nearest")
     kind = vectors.select(F.col(id_col)).dtypes[0][1]
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
 
@@ -158,257 +216,147 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
         ok = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
         return df.select(F.col(id_col).alias("id"), v.alias("v")).filter(ok)
 
-    schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    good = clean(vectors)
-    width = good.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    if not width:
-        return spark.createDataFrame([], schema)
-    d = width[0]["w"]
+    found, good, asked = None, clean(vectors), clean(queries)
+    for r in sorted(good.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()):
+        own = F.size("v") == r["w"]
+        part = _nearest(spark, good.filter(own), asked.filter(own), r["w"], kind, k, dims, confidence, cell_rows, sample, query_block)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+
+
+def _nearest(spark: SparkSession, good: DataFrame, asked: DataFrame, d: int, kind: str, k: int, dims: int, confidence: float, cell_rows: int, sample: int, query_block: int) -> DataFrame:
+    """:func:`nearest` for vectors of one length, as (id, v)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    scratch = Scratch(spark, "nearest")
     by_vector = Window.partitionBy("v").orderBy("id")
-    ranked = good.filter(F.size("v") == d).distinct().withColumn("rank", F.row_number().over(by_vector)).filter(F.col("rank") <= k + 1)
+    ranked = good.distinct().withColumn("rank", F.row_number().over(by_vector)).filter(F.col("rank") <= k + 1)
     base = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1 each
     base = scratch.keep(base.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).withColumn("at", F.xxhash64("v")), "distinct")
     stats = base.agg(F.max("norm2").alias("big"), F.count("*").alias("n")).first()
     big, n = stats["big"], stats["n"]
     planes = np.random.default_rng(20).standard_normal((d + 1, dims))
-    picked = np.array([r["v"] for r in base.orderBy("at", "v").limit(sample).select("v").collect()])
+    picked = _matrix(base.orderBy("at", "v").limit(sample).select("v").toArrow().column(0))
     lift = np.sqrt(np.maximum(0, big - (picked**2).sum(1)))
     depth = max(0, math.ceil(math.log2(max(1, n / cell_rows))))
     splits = Splits.fit(project(picked, lift, planes), min(depth, int(math.log2(max(1, len(picked) / 4)))))
     quantile = chi_square_quantile(confidence, dims)
-    cells = 1 << len(splits.dims)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = _matrix(b.column(0))
-                p = project(x, np.sqrt(np.maximum(0, big - (x**2).sum(1))), planes)
-                yield pa.RecordBatch.from_arrays([pa.array(splits.cell(p), pa.int64()), pa.array((b.column(2).to_numpy(zero_copy_only=False) >> 8) & 0xFFFF, pa.int64()), b.column(0), b.column(1)], names=["cell", "salt", "v", "ids"])
-
-    # a cell may hold more rows than its share: it goes in chunks of at most cell_rows
-    placed = scratch.keep(base.select("v", "ids", "at").mapInArrow(place, f"cell long, salt long, v array<double>, ids array<{kind}>"), "placed")
-    crowd = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2.0 * cell_rows)).cast("long").alias("parts"))
-    chunks = placed.join(F.broadcast(crowd), "cell").withColumn("chunk", F.col("salt") % F.col("parts"))  # cells: bounded by the sample
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            x = np.concatenate(rows)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([sum(own, [])], pa.list_(pa.list_(id_type)))], names=["cell", "data", "ids"])
-
-        key, rows, own = None, [], []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, c, h, ids = _matrix(b.column(2)), b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
-            edges = [0, *(np.flatnonzero((np.diff(c) != 0) | (np.diff(h) != 0)) + 1).tolist(), len(c)]
-            for lo, hi in zip(edges, edges[1:]):
-                for at in range(lo, hi, 4 * cell_rows):
-                    to = min(hi, at + 4 * cell_rows)
-                    if key is not None and (key != (c[at], h[at]) or sum(map(len, rows)) >= 4 * cell_rows):
-                        yield flush()
-                        rows, own = [], []
-                    key = (c[at], h[at])
-                    rows.append(x[at:to])
-                    own.append(ids[at:to].to_pylist())
-        if rows:
-            yield flush()
-
-    id_type = pa.int64() if kind in ("bigint", "long") else {"int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
+    id_type = to_arrow_type(good.schema["id"].dataType)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = chunks.repartition(parts, "cell", "chunk").sortWithinPartitions("cell", "chunk").select("cell", "chunk", "v", "ids").mapInArrow(pack, f"cell long, data binary, ids array<array<{kind}>>")
-    packed = scratch.keep(packed, "cells")
-
-    asked = scratch.keep(clean(queries).filter(F.size("v") == d).distinct(), "queries")
-    total = asked.count()
-    blocks = max(1, -(-total // query_block))
-    grouped = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
 
-    def run(pairs: DataFrame) -> DataFrame:
-        """Search every (query block, cell chunk) pair."""
+    def placed(df: DataFrame, raised: bool, rest: list[str], schema: str) -> DataFrame:
+        """Rows (v, ...) with their cell before them; candidates have the added coordinate, queries 0."""
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(b.num_rows):
-                    x = np.frombuffer(b.column(3)[i].as_py(), np.float64).reshape(-1, d)
-                    ids = b.column(4)[i].as_py()
-                    q = np.frombuffer(b.column(1)[i].as_py(), np.float64).reshape(-1, d)
-                    qid, bound = b.column(0)[i].as_py(), np.array(b.column(2)[i].as_py())
-                    lift2 = np.maximum(0, big - (x**2).sum(1))
-                    who, score, _ = search_cell(q, project(q, np.zeros(len(q)), planes), bound, x, project(x, np.sqrt(lift2), planes), lift2, big, k + 1, quantile)
-                    out = []
-                    for row, (w, own) in enumerate(zip(who, qid)):
-                        w = w[w >= 0]
-                        if not len(w):
-                            continue
-                        exact = (x[w] * q[row]).sum(1)  # the same sum for a vector wherever it is
-                        found = [(own, e, s) for r, s in zip(w, exact.tolist()) for e in ids[r] if e != own]
-                        out += sorted(found, key=lambda f: (-f[2], f[1]))[:k]
-                    if out:
-                        a, e, s = zip(*out)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(e, id_type), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
-
-        return pairs.mapInArrow(search, f"query_id {kind}, vec_id {kind}, score double")
-
-    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query with the cell it falls into."""
-        for b in batches:
-            if b.num_rows:
-                q = _matrix(b.column(1))
-                home = splits.cell(project(q, np.zeros(len(q)), planes))
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), b.column(0), b.column(1), b.column(2)], names=["cell", "id", "v", "block"])
+                if b.num_rows:
+                    x = _matrix(b.column(0))
+                    up = np.sqrt(np.maximum(0, big - (x**2).sum(1))) if raised else np.zeros(len(x))
+                    yield pa.RecordBatch.from_arrays([pa.array(splits.cell(project(x, up, planes)), pa.int64()), *b.columns], names=["cell", *b.schema.names])
 
-    # first each query's own cell, for a bound; then the other cells that the bound lets in
-    home = grouped.select("id", "v", "block").mapInArrow(bundle, f"cell long, id {kind}, v array<double>, block long").withColumn("bound", F.lit(float("inf")))
-    home = scratch.keep(home, "home")
+        return df.select("v", *rest).mapInArrow(place, f"cell long, v array<double>, {schema}")
 
-    def packed_queries(df: DataFrame) -> DataFrame:
-        """One row for each (cell, block): ids, vectors, bounds; at most a block's queries."""
+    def crowded(df: DataFrame, most: int) -> DataFrame:
+        """Rows with ``chunk``: a cell with more than ``most`` rows is dealt to several by the hash ``at``."""
+        ways = df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(most))).cast("long").alias("ways"))
+        return df.join(F.broadcast(ways), "cell").withColumn("chunk", F.pmod(F.shiftright("at", 8), F.col("ways")))  # cells: bounded by the sample
 
-        def flush(key, ids, vs, bounds):
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([np.concatenate(vs).tobytes()], pa.binary()), pa.array([bounds], pa.list_(pa.float64()))], names=["cell", "qid", "q", "bound"])
+    own = scratch.keep(placed(base, True, ["ids", "at"], f"ids array<{kind}>, at long"), "placed")
+    own = crowded(own, 2 * cell_rows).repartition(parts, "cell", "chunk").sortWithinPartitions("cell", "chunk")
+    packed = scratch.keep(_packed(own, ["cell", "chunk"], 4 * cell_rows, d, ("ids", f"array<{kind}>")), "cells")
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, ids, vs, bounds = None, [], [], []
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                c, k2, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(3))
-                own, lim = b.column(2).to_pylist(), b.column(4).to_pylist()
-                for i in range(b.num_rows):
-                    if key != (c[i], k2[i]) or len(ids) >= 2 * query_block:
-                        if ids:
-                            yield flush(key, ids, vs, bounds)
-                        key, ids, vs, bounds = (c[i], k2[i]), [], [], []
-                    ids.append(own[i])
-                    vs.append(x[i : i + 1])
-                    bounds.append(lim[i])
-            if ids:
-                yield flush(key, ids, vs, bounds)
-
-        by = df.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block").select("cell", "block", "id", "v", "bound")
-        return by.mapInArrow(pack, f"cell long, qid array<{kind}>, q binary, bound array<double>")
-
-    def pairs_of(df: DataFrame) -> DataFrame:
-        joined = packed_queries(df).join(packed.withColumnRenamed("ids", "xids"), "cell").select("qid", "q", "bound", "data", "xids")
-        return joined
-
-    near = scratch.keep(run(pairs_of(home)), "near")
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = near.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").alias("kth"))
-    low, high = _cell_boxes(placed, big, planes, cells, dims)
-    bounded = home.drop("bound").join(kth, F.col("id") == F.col("of"), "left").select("block", "cell", "id", "v", "kth")
-    bounded = scratch.keep(bounded, "bounded")
+    asked = asked.distinct().withColumn("at", F.xxhash64("id", "v"))
+    home = scratch.keep(placed(asked, False, ["id", "at"], f"id {kind}, at long"), "home")
+    total = home.count()
+    blocks = max(1, -(-total // query_block))
 
-    def bounds(q: np.ndarray, kth: np.ndarray) -> np.ndarray:
-        return np.where(np.isnan(kth), np.inf, np.maximum(0, (q**2).sum(1) + big - 2 * kth))
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        a, e, s = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(e, id_type), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block, cell, gap) of every cell that the bound of some query of the block lets in."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q = _matrix(b.column(3))
-            p, bound = project(q, np.zeros(len(q)), planes), bounds(q, b.column(4).to_numpy(zero_copy_only=False).astype(float))
-            block = b.column(0).to_numpy()
-            for own in np.unique(block):
-                mine = block == own
-                gap = (np.maximum(0, np.maximum(low[None] - p[mine, None], p[mine, None] - high[None])) ** 2).sum(2)
-                open_ = gap <= quantile * bound[mine, None]
-                open_[np.arange(len(open_)), b.column(1).to_numpy()[mine]] = False
-                cell = np.flatnonzero(open_.any(0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), own), pa.int64()), pa.array(cell, pa.int64()), pa.array(gap[:, cell].mean(0), pa.float64())], names=["block", "cell", "gap"])
-
-    def pack_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each block: its queries with bounds and home cells."""
-        def flush():
-            x = np.concatenate(vs)
-            ends = bounds(x, np.array(kths, float))
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([ids], pa.list_(id_type)), pa.array([ends.tolist()], pa.list_(pa.float64())), pa.array([homes], pa.list_(pa.int64()))], names=["block", "data", "qid", "bound", "home"])
+    result = f"query_id {kind}, vec_id {kind}, score double"
 
-        key, vs, ids, kths, homes = None, [], [], [], []
+    # first each query's own cell, for a bound
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(3))
-            for i, (own, cell, who, k_) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 4)))):
-                if own != key:
-                    if ids:
-                        yield flush()
-                    key, vs, ids, kths, homes = own, [], [], [], []
-                vs.append(x[i : i + 1])
-                ids.append(who)
-                kths.append(math.nan if k_ is None else k_)
-                homes.append(cell)
-        if ids:
-            yield flush()
-
-    ready = bounded.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(pack_block, f"block long, data binary, qid array<{kind}>, bound array<double>, home array<long>")
-    asked_cells = bounded.mapInArrow(widen, "block long, cell long, gap double").groupBy("block", "cell").agg(F.min("gap").alias("gap"))
-    # the cells of a block are dealt to a fixed number of lanes; a lane visits its cells in order and tightens the bounds
-    lane = F.pmod(F.xxhash64("cell"), F.lit(LANES)).cast("int").alias("lane")
-    to_cells = asked_cells.join(packed.withColumnRenamed("ids", "xids"), "cell").select("block", lane, F.lit(1).alias("role"), "gap", "cell", "data", "xids", F.lit(None).cast(f"array<{kind}>").alias("qid"), F.lit(None).cast("array<double>").alias("bound"), F.lit(None).cast("array<long>").alias("home"))
-    heads = ready.select("block", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.lit(0).alias("role"), F.lit(0.0).alias("gap"), F.lit(-1).cast("long").alias("cell"), "data", F.lit(None).cast(f"array<array<{kind}>>").alias("xids"), "qid", "bound", "home")
-    stream = heads.unionByName(to_cells).repartition(max(parts, min(100_000, LANES * blocks)), "block", "lane").sortWithinPartitions("block", "lane", "role", "gap", "cell")
-
-    def lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = qid = limit = own_cell = None
-        found: list[list] = []
-
-        def flush():
-            rows = [(who, e, s) for who, own in zip(qid, found) for s, e in sorted(((-s, e) for s, e in own))[:k]]
-            a, e, s = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(e, id_type), pa.array([-x for x in s], pa.float64())], names=["query_id", "vec_id", "score"])
-
+            for i in range(b.num_rows):
+                q = np.frombuffer(b.column(0)[i].as_py(), np.float64).reshape(-1, d)
+                cell = Cell(np.frombuffer(b.column(2)[i].as_py(), np.float64).reshape(-1, d), b.column(3)[i].as_py(), big, planes)
+                who, _ = cell.search(q, project(q, np.zeros(len(q)), planes), np.full(len(q), np.inf), big, k + 1, quantile)
+                out = []
+                for row, (w, mine) in enumerate(zip(who, b.column(1)[i].as_py())):
+                    w = w[w >= 0]
+                    exact = (cell.x[w] * q[row]).sum(1)  # the same sum for a vector wherever it is
+                    found = [(mine, e, s) for r, s in zip(w, exact.tolist()) for e in cell.ids[r] if e != mine]
+                    out += sorted(found, key=lambda f: (-f[2], f[1]))[:k]
+                if out:
+                    yield rows_of(out)
+
+    lodgers = crowded(home, query_block).repartition(parts, "cell", "chunk").sortWithinPartitions("cell", "chunk")
+    lodgers = _packed(lodgers, ["cell", "chunk"], 2 * query_block, d, ("id", kind)).select("cell", F.col("data").alias("q"), "id")
+    near = lodgers.join(packed.select("cell", "data", "ids"), "cell").select("q", "id", "data", "ids").mapInArrow(at_home, result)
+    near = scratch.keep(near, "near")
+    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = near.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+
+    # then tiles of all cells and all query blocks; the cells lie in lanes in the order of the tree
+    weights = {r["cell"]: (r["n"], r["ways"]) for r in packed.groupBy("cell").agg(F.sum(F.size("ids")).alias("n"), F.countDistinct("chunk").alias("ways")).collect()}
+    lanes = max(LANES, -(-n * (8 * d + 16) // LANE_BYTES))
+    share, at, first = max(1.0, n / lanes), 0.0, []
+    for cell in range(1 << len(splits.dims)):
+        size = weights.get(cell, (0, 1))[0]
+        first.append((cell, min(lanes - 1, int(at / share)), max(1, min(weights.get(cell, (0, 1))[1], int(size / share)))))
+        at += size
+    dealt = F.broadcast(spark.createDataFrame(first, "cell long, lane0 long, over long"))  # one row a cell
+    lane = F.least(F.lit(lanes - 1), F.col("lane0") + F.pmod("chunk", "over"))
+    groups = -(-blocks // GROUP)
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    shelves = packed.join(dealt, "cell").select(lane.alias("lane"), each(groups).alias("group"), F.lit(0).alias("role"), "cell", "chunk", "data", "ids", F.lit(None).cast(f"array<{kind}>").alias("id"))
+    blocked = home.join(kth, "id", "left").withColumn("block", F.pmod(F.shiftright("at", 8), F.lit(blocks)))
+    # the k-th score travels as one more component of the query
+    blocked = blocked.select("block", F.lit(0).cast("long").alias("zero"), "id", F.concat("v", F.array(F.coalesce("kth", F.lit(float("-inf"))), F.col("cell").cast("double"))).alias("v"))
+    blocked = _packed(blocked.repartition(parts, "block").sortWithinPartitions("block"), ["block", "zero"], 2 * query_block, d + 2, ("id", kind))
+    readers = blocked.select(each(lanes).alias("lane"), F.floor(F.col("block") / GROUP).cast("int").alias("group"), F.lit(1).alias("role"), F.col("block").alias("cell"), F.col("zero").alias("chunk"), "data", F.lit(None).cast(f"array<array<{kind}>>").alias("ids"), "id")
+    tiles = lanes * groups
+    spread = min(tiles, 100_000)
+    stream = shelves.unionByName(readers.select(*shelves.columns)).withColumn("tile", F.col("lane") * groups + F.col("group"))
+    stream = stream.repartitionById(spread, F.pmod("tile", F.lit(spread)).cast("int")).sortWithinPartitions("tile", "role", "cell", "chunk").select("tile", "role", "cell", "data", "ids", "id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, cells = None, []
         for b in batches:
             for i in range(b.num_rows):
-                x = np.frombuffer(b.column(5)[i].as_py(), np.float64).reshape(-1, d)
-                if b.column(2)[i].as_py() == 0:
-                    if found and any(found):
-                        yield flush()
-                    q, qid, limit, own_cell = x, b.column(7)[i].as_py(), np.array(b.column(8)[i].as_py()), np.array(b.column(9)[i].as_py())
-                    found = [[] for _ in qid]
-                    start, norms, qp = limit.copy(), (q**2).sum(1), project(q, np.zeros(len(q)), planes)
+                if b.column(0)[i].as_py() != tile:
+                    tile, cells = b.column(0)[i].as_py(), []
+                if b.column(1)[i].as_py() == 0:
+                    x = np.frombuffer(b.column(3)[i].as_py(), np.float64).reshape(-1, d)
+                    cells.append((b.column(2)[i].as_py(), Cell(x, b.column(4)[i].as_py(), big, planes)))
                     continue
-                cell, ids = b.column(4)[i].as_py(), b.column(6)[i].as_py()
-                mine = np.flatnonzero(own_cell != cell)
-                lift2 = np.maximum(0, big - (x**2).sum(1))
-                who, score, _ = search_cell(q[mine], qp[mine], limit[mine], x, project(x, np.sqrt(lift2), planes), lift2, big, k + 1, quantile)
-                good = (who >= 0) & (norms[mine, None] + big - 2 * score <= start[mine, None] * (1 + 1e-9) + 1e-9)
-                for row in np.flatnonzero(good.any(1)):
-                    at, w = mine[row], who[row][good[row]]
-                    exact = (x[w] * q[at]).sum(1)  # the same sum for a vector wherever it is
-                    own = found[at]
-                    own += [(s, e) for r, s in zip(w, exact.tolist()) for e in ids[r] if e != qid[at]]
-                    if len(own) >= k:
-                        own.sort(key=lambda f: (-f[0], f[1]))
-                        del own[k:]
-                        limit[at] = min(limit[at], max(0.0, norms[at] + big - 2 * own[-1][0]))
-        if found and any(found):
-            yield flush()
-
-    far = stream.mapInArrow(lanes, f"query_id {kind}, vec_id {kind}, score double")
-    found = near.unionByName(far).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+                wide = np.frombuffer(b.column(3)[i].as_py(), np.float64).reshape(-1, d + 2)
+                q, kth, homes, who_asks = np.ascontiguousarray(wide[:, :d]), wide[:, d], wide[:, d + 1], b.column(5)[i].as_py()
+                norms, qp = (q**2).sum(1), project(q, np.zeros(len(q)), planes)
+                limit = np.where(np.isfinite(kth), np.maximum(0, norms + big - 2 * kth), np.inf)
+                start, found = limit.copy(), [[] for _ in who_asks]
+                gaps = [c.gap(qp) for _, c in cells]
+                for j in sorted(range(len(cells)), key=lambda j: gaps[j].mean()):
+                    number, cell = cells[j]
+                    mine = np.flatnonzero((homes != number) & (gaps[j] <= quantile * limit))
+                    if not len(mine):
+                        continue
+                    who, score = cell.search(q[mine], qp[mine], limit[mine], big, k + 1, quantile)
+                    good = (who >= 0) & (norms[mine, None] + big - 2 * score <= start[mine, None] * (1 + 1e-9) + 1e-9)
+                    for row in np.flatnonzero(good.any(1)):
+                        at, w = mine[row], who[row][good[row]]
+                        exact = (cell.x[w] * q[at]).sum(1)  # the same sum for a vector wherever it is
+                        own = found[at]
+                        own += [(s, e) for r, s in zip(w, exact.tolist()) for e in cell.ids[r] if e != who_asks[at]]
+                        if len(own) >= k:
+                            own.sort(key=lambda f: (-f[0], f[1]))
+                            del own[k:]
+                            limit[at] = min(limit[at], max(0.0, norms[at] + big - 2 * own[-1][0]))
+                out = [(asks, e, s) for asks, own in zip(who_asks, found) for s, e in sorted(own, key=lambda f: (-f[0], f[1]))[:k]]
+                if out:
+                    yield rows_of(out)
+
+    found = near.unionByName(stream.mapInArrow(search, result)).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _cell_boxes(placed: DataFrame, big: float, planes: np.ndarray, cells: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest projection of each cell; as many rows as cells, which the sample bounds."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = np.full((cells, dims), np.inf), np.full((cells, dims), -np.inf)
-        for b in batches:
-            if b.num_rows:
-                x, c = _matrix(b.column(1)), b.column(0).to_numpy()
-                p = project(x, np.sqrt(np.maximum(0, big - (x**2).sum(1))), planes)
-                np.minimum.at(low, c, p)
-                np.maximum.at(high, c, p)
-        for c in np.flatnonzero(np.isfinite(low[:, 0])):
-            yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int64()), "low": pa.array([low[c]], pa.list_(pa.float64())), "high": pa.array([high[c]], pa.list_(pa.float64()))})
-
-    got = placed.select("cell", "v").mapInArrow(measure, "cell long, low array<double>, high array<double>")
-    ends = [f(F.col(c)[i]).alias(f"{c}{i}") for c, f in (("low", F.min), ("high", F.max)) for i in range(dims)]
-    low, high = np.full((cells, dims), np.inf), np.full((cells, dims), -np.inf)
-    for r in got.groupBy("cell").agg(*ends).collect():
-        low[r["cell"]] = [r[f"low{i}"] for i in range(dims)]
-        high[r["cell"]] = [r[f"high{i}"] for i in range(dims)]
-    return low, high

@@ -610,11 +610,31 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert ann.nearest(spark, vectors.limit(0), vectors).count() == 0
 
 
-def test_recall_on_the_real_table(spark):
-    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = ann.nearest(spark, e, e.filter("vec_id % 20 = 0"), cell_rows=256).toPandas()
+@pytest.mark.parametrize("kind", ["tinyint", "string", "decimal(20,0)", "date"])
+def test_nearest_takes_ids_of_any_kind_and_several_widths(spark, kind, monkeypatch):
+    monkeypatch.setattr(ann, "LANE_BYTES", 1000)  # many lanes and groups
+    monkeypatch.setattr(ann, "GROUP", 2)
+    draw = np.random.default_rng(6)
+    rows = [(i, draw.standard_normal(5 if i % 3 else 9).tolist()) for i in range(100)]
+    made = "date_add(date'2020-01-01', i)" if kind == "date" else f"cast(i as {kind})"
+    vectors = spark.createDataFrame(rows, "i int, embedding array<double>").selectExpr(f"{made} as vec_id", "embedding", "i")
+    got = ann.nearest(spark, vectors, vectors.filter("i % 4 = 0"), k=3, cell_rows=8, query_block=4, sample=64, confidence=0.9999)
+    name = {r["vec_id"]: r["i"] for r in vectors.collect()}
+    best = {}
+    for q, v in rows[::4]:
+        best[q] = sorted((-float(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:3]
+    found = {(name[r["query_id"]], r["rank"], name[r["vec_id"]]) for r in got.collect()}
+    expected = {(q, n, i) for q, own in best.items() for n, (_, i) in enumerate(own, 1)}
+    assert len(found) == len(expected) and len(found & expected) >= 0.95 * len(expected)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="needs the larger table")
+def test_recall_with_production_parameters(spark):
+    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    got = queries.op9_nearest(spark, "/root/testdata/check_s").toPandas()
     rows = e.toPandas()
     x, ids = np.stack(rows.embedding.map(np.array)).astype(float), rows.vec_id.to_numpy()
+    assert len(x) > 10_000
     hits = n = 0
     for q, own in got.groupby("query_id"):
         s = x @ x[np.flatnonzero(ids == q)[0]]
