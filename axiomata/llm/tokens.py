@@ -9,24 +9,27 @@ count at every prefix of a text; truncation and budget questions are then
 look-ups (:func:`cut_to_budget`), nothing is encoded again.
 
 The vocabulary is a file of the ``tokenizers`` library whose words end in a
-suffix. Texts outside the plain Latin range, or with special tokens, go
-through the library itself, which gives the same numbers.
+suffix; its pattern of words and its special tokens are read from the file. Texts of all scripts are
+counted this way. Only parts with characters younger than the library's own Unicode
+tables are left to the library itself, which gives the same numbers.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
-import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LETTERS = "a-z\\u00df-\\u00f6\\u00f8-\\u00ff\\u0101-\\u012f\\u0133-\\u0148\\u014b-\\u017e"
-_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
-_UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0132-\\u0148\\u014a-\\u017e]|<\\|")
+#: Characters that are not assigned, or only in the newest tables: their classes are not the same everywhere.
+_YOUNG = regex.compile(r"[\p{Cn}\ua7cb-\ua7dc\U000323b0-\U000dffff]")
 
 
 def _byte_letters() -> list[str]:
@@ -49,7 +52,17 @@ class PrefixCounter(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        whole = json.load(open(path, encoding="utf-8"))
+        model = whole["model"]
+        split = whole["pre_tokenizer"]["pretokenizers"][0]
+        steps = [n["type"] for n in whole["normalizer"]["normalizers"]]
+        if steps != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"]:
+            raise ValueError(f"{path} normalises or splits in another way")
+        # white space as the library's own expressions have it
+        self.piece = regex.compile(split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
+        special = [regex.escape(t["content"]) for t in whole["added_tokens"]]
+        self.special = regex.compile(f"({'|'.join(special)})") if special else None
+        self.marks = {t["content"][0] for t in whole["added_tokens"]}
         self.end = model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.rank = {p: i for i, p in enumerate(pairs)}
@@ -118,35 +131,85 @@ class PrefixCounter(dict):
         n = self[word] = self._dp("".join([self.letters[b] for b in word.encode()]), False)[-1]
         return n
 
+    def _cut(self, text: str) -> list[str]:
+        """The text between special tokens (even places) and these (odd places)."""
+        return self.special.split(text) if self.special and any(m in text for m in self.marks) else [text]
+
+    @staticmethod
+    def _normal(part: str) -> str:
+        """Composed and in lower case, each character by itself."""
+        if part.isascii():
+            return part.lower()
+        if not unicodedata.is_normalized("NFC", part):
+            part = unicodedata.normalize("NFC", part)
+        return "".join(map(str.lower, part)) if "Σ" in part else part.lower()
+
+    def _foreign(self, part: str) -> bool:
+        return not part.isascii() and _YOUNG.search(part) is not None
+
     def count(self, text: str | None) -> int:
         """Tokens of a whole text."""
-        if not text:
-            return 0
-        if _UNUSUAL.search(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.__getitem__, _PIECE.findall(text.lower())))
+        total = 0
+        for i, part in enumerate(self._cut(text) if text else ()):
+            if i % 2:
+                total += 1
+            elif part and self._foreign(part):
+                total += len(self.library.encode(part, add_special_tokens=False).ids)
+            else:
+                total += sum(map(self.__getitem__, self.piece.findall(self._normal(part))))
+        return total
 
     def prefixes(self, text: str | None) -> tuple[list[int], list[int]]:
-        """(ends, counts): the tokens of the text up to each piece's end, in characters."""
-        if not text:
-            return [], []
-        if _UNUSUAL.search(text):
-            at = [b for _, b in self.library.encode(text, add_special_tokens=False).offsets]
-            ends, counts = [], []
-            for i, b in enumerate(at, 1):
-                if ends and ends[-1] == b:
-                    counts[-1] = i
+        """(ends, counts): the tokens of the text up to each end, in characters.
+
+        The ends are those of pieces and special tokens; where characters change their number in lower case or by
+        composition, and in parts that the library counts, those of the words between white space.
+        """
+        ends, counts, total, at = [], [], 0, 0
+        for i, part in enumerate(self._cut(text) if text else ()):
+            if i % 2:
+                total += 1
+                ends.append(at + len(part))
+                counts.append(total)
+            else:
+                plain = self._normal(part)
+                if len(plain) == len(part) and not self._foreign(part) and (part.isascii() or unicodedata.is_normalized("NFC", part)):
+                    for m in self.piece.finditer(plain):
+                        total += self[m[0]]
+                        ends.append(at + m.end())
+                        counts.append(total)
                 else:
-                    ends.append(b)
-                    counts.append(i)
-            return ends, counts
-        ends, counts, total = [], [], 0
-        for m in _PIECE.finditer(text.lower()):
-            total += self[m[0]]
-            ends.append(m.end())
-            counts.append(total)
+                    for m in _BETWEEN.finditer(part):
+                        total += self.count(m[0])
+                        ends.append(at + m.end())
+                        counts.append(total)
+            at += len(part)
         return ends, counts
 
+    def at(self, text: str, ends: list[int], counts: list[int], n: int) -> int:
+        """Tokens of the first ``n`` characters: the stored count before them and the one piece that is cut."""
+        k = bisect_left(ends, n)  # ends before n; a piece that ends at n counts whole below
+        begin = ends[k - 1] if k else 0
+        return (counts[k - 1] if k else 0) + self.count(text[begin:n])
+
+    def within(self, text: str | None, limit: int) -> tuple[int, int]:
+        """(tokens, characters of the longest stored prefix with at most ``limit`` tokens)."""
+        if text and text.isascii() and not any(m in text for m in self.marks):
+            counts = list(itertools.accumulate(map(self.__getitem__, self.piece.findall(text.lower()))))
+            if not counts or counts[-1] <= limit:
+                return (counts[-1] if counts else 0), len(text)
+            k = bisect_right(counts, limit)
+            return counts[-1], next(itertools.islice(self.piece.finditer(text.lower()), k - 1, k)).end() if k else 0
+        total = self.count(text)
+        if total <= limit:
+            return total, len(text or "")
+        ends, counts = self.prefixes(text)
+        k = bisect_right(counts, limit)
+        return total, ends[k - 1] if k else 0
+
+
+_BETWEEN = regex.compile(r"\P{White_Space}+")
+
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
@@ -155,26 +218,28 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every whole text.
+    """(id, n_bytes, n_tokens, over_limit, kept_chars) of every whole text.
 
-    Null and empty texts have 0 bytes and tokens; repeated rows are counted
+    ``over_limit`` and ``kept_chars`` (the length of the longest stored prefix with at most ``limit`` tokens; the whole text if it
+    fits) are answered by the counts at its prefixes. Null and empty texts have 0 bytes and tokens; repeated rows are counted
     one by one; null ids stay null; an empty table gives no rows. ``path`` is the
     vocabulary file, which every executor must have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        within = counter(path).within
         for batch in batches:
-            found = [count(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            found = [within(t.as_py(), limit) for t in batch.column(2)]
+            n, kept, over = [f[0] for f in found], [f[1] for f in found], [f[0] > limit for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(over, pa.bool_()), pa.array(kept, pa.int64())], names=["id", "n_bytes", "n_tokens", "over_limit", "kept_chars"])
 
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return base.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
 
 
 def prefix_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ends, counts): the stored token count at every piece end of each whole text."""
+    """(id, ends, counts): the stored token count at every piece end of each whole text; :meth:`PrefixCounter.at` has those between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = counter(path).prefixes
