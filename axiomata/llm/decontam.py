@@ -18,13 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axiomata.llm.scratch import Scratch
+
 _WORD = re.compile(r"\w+")
+#: In scripts without spaces each character counts as a word.
+_UNSPACED = "฀-໿က-႟ក-៿⺀-鿿豈-﫿\U00020000-\U0003ffff"
+_DENSE, _MIXED = re.compile(f"[{_UNSPACED}]"), re.compile(f"[{_UNSPACED}]|(?:(?![{_UNSPACED}])\\w)+")
 BUDGET = 0.2
 
 
 def normal_words(text: str | None) -> list[str]:
-    """Lower-case runs of letters, digits and underscores."""
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-case runs of letters, digits and underscores; in scripts without spaces, characters."""
+    if not text:
+        return []
+    dense = not text.isascii() and _DENSE.search(text)
+    return (_MIXED if dense else _WORD).findall(text.lower())
 
 
 def best_match(pattern: list[str], text: list[str], most: int) -> tuple[int, int] | None:
@@ -194,8 +202,9 @@ def _scan(texts: DataFrame, block: Block, schema: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_words: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns kept, whose text holds no item.
 
-    Rows are judged in place, each block of items in turn, so nothing is
-    shuffled; null and empty texts stay, repeated rows stay repeated.
+    Rows are judged in place, so nothing is shuffled; with several blocks of items
+    what each leaves is written before the next, so that a task holds one automaton at a time. Null and
+    empty texts stay, repeated rows stay repeated.
     """
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
     at = docs.columns.index(text_col)
@@ -211,6 +220,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bu
 
         return df.mapInArrow(run, df.schema)
 
-    for block in _blocks(rows, budget, block_words):
+    scratch, kept = Scratch(spark, "clean"), None
+    for i, block in enumerate(_blocks(rows, budget, block_words)):
+        if i:
+            docs = kept = scratch.keep(docs, "clean", (kept,))
         docs = clean(docs, block)
     return docs

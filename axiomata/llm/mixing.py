@@ -55,11 +55,11 @@ def _rate(x, lam, cap: float):
     return cap / (1.0 + (cap - 1.0) * F.exp(-F.least(F.lit(700.0), F.greatest(F.lit(-700.0), lam * x))))
 
 
-def multipliers(hist: DataFrame, goal: DataFrame, scratch: Scratch, cap: float = 2.0, tolerance: float = 1e-5, rounds: int = 40) -> DataFrame:
+def multipliers(hist: DataFrame, goal: DataFrame, scratch: Scratch, cap: float = 2.0, tolerance: float = 1e-5, rounds: int = 80) -> DataFrame:
     """(source, mean, lam) for every source whose target is positive and below its cap.
 
     Newton steps for all sources at once; a step that leaves its bracket is
-    replaced by the bracket's middle, so every source settles.
+    replaced by the bracket's middle, so every source settles. Raises RuntimeError if ``rounds`` do not suffice.
     """
     open_ = goal.filter("target > 0").filter(F.col("target") < cap * F.col("source_size") * (1 - 1e-9))
     n = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
@@ -79,10 +79,12 @@ def multipliers(hist: DataFrame, goal: DataFrame, scratch: Scratch, cap: float =
         inside = (F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi"))
         moved = F.when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)
         nxt = nxt.select("source", "target", "mean", F.when(off <= tolerance, F.col("lam")).otherwise(moved).alias("lam"), "lo", "hi", off.alias("off"))
-        state = scratch.keep(nxt, "dual")
+        state = scratch.keep(nxt, "dual", (state,))
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"the mix did not settle: a source is off its target by {worst:.2%}")
     return state.select("source", "mean", F.round("lam", 9).alias("lam"))
 
 
@@ -158,7 +160,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
 
 
 def mixed_rows(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, all columns kept, with copies (how often) and taken; texts are counted again rather than shuffled."""
+    """The rows of ``docs`` that the mix takes, all columns kept, with copies (how often) and taken, which replace columns of these names; texts are counted again rather than shuffled."""
     scratch = Scratch(spark, "mixing")
     base = scratch.keep(sizes(docs, id_col, text_col, source_col), "sizes")
     kept = [c for c in docs.columns if c not in ("copies", "taken")]

@@ -154,7 +154,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, d
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> RuleModel:
-    """Fit on at most ``sample`` labelled ids, the first by a hash; null labels are left out.
+    """Fit on at most ``sample`` labelled ids, the first by a hash; null labels are left out, and of several texts of one id all but the least by its statistics.
 
     The sample is a documented bound: its ids are broadcast, and only its
     statistics (a few numbers a row) come to the driver.
@@ -164,13 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
     chosen = chosen.orderBy(F.xxhash64("__key", F.lit("quality")), "__key", "__label").limit(sample)
     stats = statistics(F.col(text_col))
     rows = docs.select(key.alias("__doc"), F.col(text_col)).join(F.broadcast(chosen), F.col("__doc") == F.col("__key"))
-    got = rows.select(F.col("__doc").alias("key"), F.col("__label").alias("label"), *[c.alias(n) for n, c in stats.items()]).limit(4 * sample).toPandas()
+    rows = rows.select(F.col("__doc").alias("key"), F.col("__label").alias("label"), F.struct(*[c.alias(n) for n, c in stats.items()]).alias("stats"))
+    got = rows.groupBy("key", "label").agg(F.min("stats").alias("stats")).select("key", "label", "stats.*").toPandas()
     got = got.sort_values(list(got.columns), kind="stable")  # the order rows arrive in must not matter
     return fit_rules(got[list(stats)].to_numpy(float), got["label"].to_numpy(float), list(stats), **how)
 
 
 def scored(docs: DataFrame, model: RuleModel, text_col: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a column ``score`` in 0 to 1; null and empty texts score as empty, other columns stay."""
+    """``docs`` with a column ``score`` in 0 to 1; null and empty texts score as empty; a column of that name is replaced, others stay."""
     stats = statistics(F.col(text_col))
     used = {model.names[i] for rule, _ in model.rules for i, _, _ in rule}
     at = {n: f"__stat_{n}" for n in stats if n in used}

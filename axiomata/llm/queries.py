@@ -56,8 +56,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crc_mod(key: str, n: int):
-    """crc32 of an id as text, modulo n."""
-    return F.crc32(F.col(key).cast("string")) % n
+    """crc32 of an id as text, modulo n; -1 for null, which is never held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % n, F.lit(-1))
 
 
 @_query

@@ -73,6 +73,31 @@ def brute_components(pairs):
     return [least[find(i)] for i in range(n)]
 
 
+def brute_near(rows):
+    """(id, text) -> least ids over links of at most 3 bits or of five-word sets at Jaccard 0.8 or more."""
+    bits = [brute_fingerprint(t) for _, t in rows]
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        alike = bool(a and b) and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9
+        if alike or bin(bits[i] ^ bits[j]).count("1") <= 3:
+            root[find(i)] = find(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), key), key)
+    return [least[find(i)] for i in range(len(rows))]
+
+
 # --- 1
 
 
@@ -396,8 +421,10 @@ def test_quality_columns_equal_the_model_and_learn(spark, none, odd):
     assert np.mean(right) > 0.99
     assert quality.scored(none, model).count() == 0
     assert {r["score"] for r in quality.scored(docs, quality.fit(none, marks)).collect()} == {0.5}
-    clash = quality.scored(odd.drop("score"), model)
-    assert clash.count() == len(ODD) and "size" in clash.columns
+    clash = quality.scored(odd, model)
+    assert clash.count() == len(ODD) and clash.columns.count("score") == 1 and "size" in clash.columns
+    twice = quality.fit(docs.unionByName(docs), marks.unionByName(marks), sample=1000)
+    assert twice.rules == quality.fit(docs.repartition(3), marks, sample=1000).rules
 
 
 def test_quality_holds_out(spark):
@@ -432,11 +459,35 @@ def test_every_prefix(counter):
         assert [got[i] for i in whole] == [expected[i] for i in whole]
 
 
+MIXED = ["It’s segmentation", "Привет, мир! ΣΑΣ ὈΔΥΣΣΕΎΣ", "東京タワー 漢字かな", "e\u0301te\u0301 İstanbul I'LL", "a<|endoftext|>b <|startoftext|><|x", "emoji 😀👍🏽 and ² ½ ٣", "tab\tnew\nline\x0b\x1c\u3000x", "they're don't 'S 'ſ", "मानक हिन्दी", "\u0301 lone mark", "ß ŉ ﬁ ǅ"]
+
+
+@pytest.mark.parametrize("text", MIXED)
+def test_every_prefix_of_mixed_scripts(counter, text, monkeypatch):
+    expected = [len(counter.library.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+    monkeypatch.setattr(counter, "library", None)  # the library is not called
+    assert counter.count(text) == expected[-1]
+    ends, counts = counter.prefixes(text)
+    assert all(expected[e] == c for e, c in zip(ends, counts))
+    assert [counter.at(text, ends, counts, n) for n in range(len(text) + 1)] == expected
+    for limit in range(expected[-1] + 2):
+        n, kept = counter.within(text, limit)
+        assert n == expected[-1] and expected[kept] <= limit
+        assert kept == len(text) if n <= limit else kept == max([0, *(e for e, c in zip(ends, counts) if c <= limit)])
+
+
+def test_every_code_point_of_the_first_plane(counter):
+    for at in range(0, 0xD800, 0x900):
+        text = " ".join(f"a{chr(c)}1{chr(c)}" for c in range(at, at + 0x900))
+        assert counter.count(text) == len(counter.library.encode(text, add_special_tokens=False).ids)
+
+
 def test_token_index_answers_budgets(spark, counter, odd, none):
     path = queries.vocab("word_bpe_49k.json")
     got = tokens.token_counts(odd, path, 100).collect()
     assert len(got) == len(ODD)
     assert {r["id"]: r["n_tokens"] for r in got if r["id"]} == {i: counter.count(t) for i, t, *_ in ODD if i}
+    assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got) and {r["id"]: r["kept_chars"] for r in got}[7] == 399
     assert tokens.token_counts(none, path, 1).count() == 0
     cut = tokens.prefix_index(odd, path).withColumn("kept", tokens.cut_to_budget(5)).collect()
     text = {i: t or "" for i, t, *_ in ODD}
@@ -735,6 +786,26 @@ def test_attach_splits_large_groups(spark):
     assert len(got) == 5000 and {(r["k"], r["n"]) for r in got} == {(0, 3000)} | {(i, 1) for i in range(3000, 5000)}
 
 
+def test_words_of_scripts_without_spaces():
+    assert decontam.normal_words("Ab_1 漢字かx, ñ") == ["ab_1", "漢", "字", "か", "x", "ñ"]
+    item = "東京都知事選挙の結果について説明する文章です"
+    block = decontam.Block([(1, decontam.normal_words(item))], 0.2)
+    assert block.matches(block.finder(), "前の文。" + item.replace("結", "欠") + "続き")[0][:2] == (1, 1)
+
+
+def test_scratch_is_deleted(spark):
+    from axiomata.llm import scratch
+
+    with scratch.scope():
+        own = Scratch(spark, "gone")
+        first = own.keep(spark.range(3), "a")
+        path = own._at[id(first)].removeprefix("file://").removeprefix("file:")
+        second = own.keep(first, "b", (first,))
+        assert not os.path.exists(path) and second.count() == 3
+        folder = own.root.removeprefix("file://").removeprefix("file:")
+    assert not os.path.exists(folder)
+
+
 # --- pipeline
 
 
@@ -760,7 +831,7 @@ def test_pipeline_against_its_operators(spark):
         rows = [(r["doc_id"], r["text"]) for r in at.collect()]
         assert len(kept) > 0.5 * len(rows)
         if name == "near_dedup":
-            assert kept == set(brute_components([(i, brute_fingerprint(t)) for i, t in rows]))
+            assert kept == set(brute_near(rows))
         if name == "decontaminate":
             bench = [decontam.normal_words(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert kept == {i for i, t in rows if not any(decontam.best_match(w, decontam.normal_words(t), int(len(w) * 0.2 + 1e-9)) for w in bench)}
