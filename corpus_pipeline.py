@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from axiomata.llm import decontam, langid, mixing, quality, simhash
 from axiomata.llm.queries import crc_mod, vocab
-from axiomata.llm.scratch import Scratch
+from axiomata.llm.scratch import Scratch, scope
 
 KEEP_QUALITY = 0.3
 #: Documents whose language is less sure than this are rejected (as are those without a letter).
@@ -64,9 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; the result is the last stage's table."""
+    """Apply the stages to ``documents``; the result is the last stage's table, and all other tables are deleted."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with scope():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name, (docs,))
     return docs
