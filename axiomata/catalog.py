@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axiomata import builders
 from axiomata.functions import names
 from axiomata.functions import terms as t
 from axiomata.functions.terms import cat
@@ -724,3 +725,116 @@ def report_stats(spark, d):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of every supplier, nation and region class."""
     return ancestors(spark, sf_dir)
+
+
+# == every construct: one axiom of each kind, expression and range over the nations, with its text written out
+
+
+def constructs(col=F.col) -> list[tuple[t.Term, str, int]]:
+    """(axiom, its text written out, its mentions); $a is the nation's IRI, $b and $c names of its own, $n its key, $m its name."""
+    key, name = col("n_nationkey").cast("string"), col("n_name")
+    at = lambda kind: cat(f"{U}{kind}/", key)
+    A, B, C, i, j = t.cls(at("nation")), t.cls(at("b")), t.cls(at("c")), t.ind(at("nation")), t.ind(at("b"))
+    p, q, x, y, note = _p("p"), _p("q"), t.dat(f"{U}x"), t.dat(f"{U}y"), t.ann(f"{U}note")
+    integer, text = t.datatype(f"{t.XSD}integer"), t.literal(name)
+    five = t.literal(key, f"{t.XSD}integer")
+    P, Q, X, Y, N, INT = f"<{U}p>", f"<{U}q>", f"<{U}x>", f"<{U}y>", f"<{U}note>", f"<{t.XSD}integer>"
+    T, FIVE = f'"$m"^^<{t.XSD}string>', f'"$n"^^{INT}'
+    m = t.make
+    plain = [
+        (m("Declaration", A), "Declaration(Class($a))", 1), (m("Declaration", p), f"Declaration(ObjectProperty({P}))", 1), (m("SubClassOf", A, B), "SubClassOf($a $b)", 2),
+        (m("EquivalentClasses", A, B, C), "EquivalentClasses($a $b $c)", 3), (m("DisjointClasses", A, B), "DisjointClasses($a $b)", 2), (m("DisjointUnion", A, B, C), "DisjointUnion($a $b $c)", 3),
+        (m("SubObjectPropertyOf", p, q), f"SubObjectPropertyOf({P} {Q})", 2), (m("SubPropertyChainOf", p, q, q), f"SubObjectPropertyOf(ObjectPropertyChain({Q} {Q}) {P})", 3),
+        *[(m(f"{k}ObjectProperties", p, q), f"{k}ObjectProperties({P} {Q})", 2) for k in ("Equivalent", "Disjoint", "Inverse")],
+        (m("ObjectPropertyDomain", p, A), f"ObjectPropertyDomain({P} $a)", 2), (m("ObjectPropertyRange", p, A), f"ObjectPropertyRange({P} $a)", 2),
+        *[(m(f"{k}ObjectProperty", p), f"{k}ObjectProperty({P})", 1) for k in ("Functional", "InverseFunctional", "Reflexive", "Irreflexive", "Symmetric", "Asymmetric", "Transitive")],
+        (m("SubDataPropertyOf", x, y), f"SubDataPropertyOf({X} {Y})", 2), *[(m(f"{k}DataProperties", x, y), f"{k}DataProperties({X} {Y})", 2) for k in ("Equivalent", "Disjoint")],
+        (m("DataPropertyDomain", x, A), f"DataPropertyDomain({X} $a)", 2), (m("DataPropertyRange", x, integer), f"DataPropertyRange({X} {INT})", 2), (m("FunctionalDataProperty", x), f"FunctionalDataProperty({X})", 1),
+        (m("DatatypeDefinition", t.datatype(f"{U}d"), integer), f"DatatypeDefinition(<{U}d> {INT})", 2), (m("HasKey", A, p, x), f"HasKey($a ({P}) ({X}))", 3),
+        (m("SameIndividual", i, j), "SameIndividual($a $b)", 2), (m("DifferentIndividuals", i, j), "DifferentIndividuals($a $b)", 2), (m("ClassAssertion", B, i), "ClassAssertion($b $a)", 2),
+        *[(m(f"{k}ObjectPropertyAssertion", p, i, j), f"{k}ObjectPropertyAssertion({P} $a $b)", 3) for k in ("", "Negative")],
+        *[(m(f"{k}DataPropertyAssertion", x, i, five), f"{k}DataPropertyAssertion({X} $a {FIVE})", 3) for k in ("", "Negative")],
+        (m("AnnotationAssertion", note, t.bare(at("nation")), text), f"AnnotationAssertion({N} $a {T})", 2), (m("SubAnnotationPropertyOf", note, t.ann(f"{U}n2")), f"SubAnnotationPropertyOf({N} <{U}n2>)", 2),
+        *[(m(f"AnnotationProperty{k}", note, t.bare(f"{U}any")), f"AnnotationProperty{k}({N} <{U}any>)", 1) for k in ("Domain", "Range")],
+        (m("ClassAssertion", B, t.anon(key)), "ClassAssertion($b _:$n)", 1), (m("AnnotationAssertion", note, t.bare(f"{U}any"), t.literal(name, lang="en")), f'AnnotationAssertion({N} <{U}any> "$m"@en)', 2),
+    ]
+    over = lambda e, s, n: (m("SubClassOf", A, e), f"SubClassOf($a {s})", n + 1)
+    expressions = [
+        over(t.conj(B, C), "ObjectIntersectionOf($b $c)", 2), over(t.disj(B, C), "ObjectUnionOf($b $c)", 2), over(t.neg(B), "ObjectComplementOf($b)", 1), over(t.one_of(i, j), "ObjectOneOf($a $b)", 2),
+        over(t.some(p, B), f"ObjectSomeValuesFrom({P} $b)", 2), over(t.only(p, B), f"ObjectAllValuesFrom({P} $b)", 2), over(t.has(p, j), f"ObjectHasValue({P} $b)", 2), over(t.self_(p), f"ObjectHasSelf({P})", 1),
+        *[over(t.cardinality(k, 2, p, B), f"Object{k}Cardinality(2 {P} $b)", 2) for k in ("Min", "Max", "Exact")], over(t.cardinality("Min", 1, p), f"ObjectMinCardinality(1 {P})", 1),
+        over(m("DataSomeValuesFrom", x, integer), f"DataSomeValuesFrom({X} {INT})", 2), over(m("DataAllValuesFrom", x, integer), f"DataAllValuesFrom({X} {INT})", 2), over(m("DataHasValue", x, five), f"DataHasValue({X} {FIVE})", 2),
+        *[over(t.cardinality(k, 3, x, integer), f"Data{k}Cardinality(3 {X} {INT})", 2) for k in ("Min", "Max", "Exact")], over(t.some(t.inverse(p), B), f"ObjectSomeValuesFrom(ObjectInverseOf({P}) $b)", 2),
+    ]
+    held = lambda r, s, n: (m("DataPropertyRange", x, r), f"DataPropertyRange({X} {s})", n + 1)
+    ranges = [
+        held(m("DataIntersectionOf", integer, t.datatype(f"{U}d")), f"DataIntersectionOf({INT} <{U}d>)", 2), held(m("DataUnionOf", integer, t.datatype(f"{U}d")), f"DataUnionOf({INT} <{U}d>)", 2),
+        held(m("DataComplementOf", integer), f"DataComplementOf({INT})", 1), held(m("DataOneOf", five, text), f"DataOneOf({FIVE} {T})", 2),
+        held(t.restrict(integer, t.facet(f"{t.XSD}minInclusive", five)), f"DatatypeRestriction({INT} <{t.XSD}minInclusive> {FIVE})", 2),
+    ]
+    return plain + expressions + ranges
+
+
+def _rows(pairs: list[tuple[str, int]]) -> str:
+    return ", ".join(f"('{text.replace(chr(39), chr(39) * 2)}', {n})" for text, n in pairs)
+
+
+class _NoColumn(str):
+    """Stands for a column where only the written texts are wanted (no session is needed)."""
+
+    def cast(self, _):
+        return self
+
+
+def _texts() -> str:
+    """Rows (template, mentions) of all constructs for the SQL."""
+    return _rows([(text, n) for _, text, n in constructs(_NoColumn)])
+
+
+@query(f"""SELECT replace(replace(replace(replace(replace(tpl, '$a', '<{U}nation/' || n_nationkey || '>'), '$b', '<{U}b/' || n_nationkey || '>'), '$c', '<{U}c/' || n_nationkey || '>'), '$n', n_nationkey::VARCHAR), '$m', n_name) AS text,
+  n::BIGINT AS mentions FROM nation, (VALUES {_texts()}) AS v(tpl, n)""")
+def all_constructs(spark, d):
+    """(text, mentions) of one axiom for each construct and nation."""
+    nation = table(spark, d, "nation")
+    own = constructs()
+    made = [t.columns(a) for a, *_ in own]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), *[m[c].alias(c) for c in m]) for i, m in enumerate(made)]))
+    rows = nation.select(F.col("n_nationkey").cast("long").alias("k"), each.alias("a"))
+    o = Ontology(rows.select((F.col("k") * len(own) + F.col("a.at")).alias("idx"), *[F.col(f"a.{c}").alias(c) for c in made[0]]))
+    counted = o.mentions().groupBy("idx").agg(F.count("*").alias("mentions"))
+    return o.axioms.join(counted, "idx", "left").select("text", F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions"))
+
+
+def defined(spark: SparkSession, d: str) -> Ontology:
+    """Nations, regions and a vocabulary by builders."""
+    n = builders.Namer(names.prefixes(x=U))
+    region, supplier = cls("region", "n_regionkey"), ind("supplier", "s_suppkey")
+    nation = builders.define(cls("nation", "n_nationkey")).label(F.col("n_name"), "en").comment("a nation").sub_class_of(region, n.cls("x:Place"))
+    nation = nation.disjoint_with(n.cls("x:Part"), n.cls("x:Order")).key(n.obj("x:p")).equivalent_to(t.conj(region, n.cls("x:Land")))
+    firm = builders.define(supplier).label(F.col("s_name")).type(cls("nation", "s_nationkey")).fact(n.obj("x:in"), ind("nation", "s_nationkey")).not_fact(n.obj("x:in"), ind("nation", F.col("s_nationkey") + 1))
+    firm = firm.data(n.dat("x:key"), t.literal(F.col("s_suppkey").cast("string"), f"{t.XSD}integer")).different_from(ind("supplier", F.col("s_suppkey") + 1))
+    prop = builders.define(n.obj("x:in")).domain(n.cls("x:Firm")).range(n.cls("x:Place")).chain(n.obj("x:in"), n.obj("x:part")).transitive().inverse_of(n.obj("x:holds")).sub_property_of(n.obj("x:near"))
+    data = builders.define(n.dat("x:key")).domain(n.cls("x:Firm")).range(n.datatype("xsd:integer")).functional().label("key")
+    if n.err:
+        raise ValueError(n.err)
+    parts = [nation.over(table(spark, d, "nation"), F.col("n_nationkey")), firm.over(table(spark, d, "supplier"), F.col("s_suppkey")), prop.build(spark), data.build(spark)]
+    return parts[0].add(*parts[1:], step=STEP)
+
+
+_N, _S = f"<{U}nation/' || n_nationkey || '>", f"<{U}supplier/' || s_suppkey || '>"
+_L, _C, _STR = f"<{t.STANDARD['rdfs']}label>", f"<{t.STANDARD['rdfs']}comment>", f"<{t.XSD}string>"
+_FIXED = [
+    f"Declaration(ObjectProperty(<{U}in>))", f"ObjectPropertyDomain(<{U}in> <{U}Firm>)", f"ObjectPropertyRange(<{U}in> <{U}Place>)", f"SubObjectPropertyOf(ObjectPropertyChain(<{U}in> <{U}part>) <{U}in>)",
+    f"TransitiveObjectProperty(<{U}in>)", f"InverseObjectProperties(<{U}in> <{U}holds>)", f"SubObjectPropertyOf(<{U}in> <{U}near>)", f"Declaration(DataProperty(<{U}key>))", f"DataPropertyDomain(<{U}key> <{U}Firm>)",
+    f"DataPropertyRange(<{U}key> <{t.XSD}integer>)", f"FunctionalDataProperty(<{U}key>)", f'AnnotationAssertion({_L} <{U}key> "key"^^{_STR})',
+]
+
+
+@query(f"""SELECT unnest(['Declaration(Class({_N}))', 'AnnotationAssertion({_L} {_N} "' || n_name || '"@en)', 'AnnotationAssertion({_C} {_N} "a nation"^^{_STR})', 'SubClassOf({_N} <{U}region/' || n_regionkey || '>)',
+  'SubClassOf({_N} <{U}Place>)', 'DisjointClasses({_N} <{U}Part> <{U}Order>)', 'HasKey({_N} (<{U}p>) ())', 'EquivalentClasses({_N} ObjectIntersectionOf(<{U}region/' || n_regionkey || '> <{U}Land>))']) AS text FROM nation
+UNION ALL SELECT unnest(['Declaration(NamedIndividual({_S}))', 'AnnotationAssertion({_L} {_S} "' || s_name || '"^^{_STR})', 'ClassAssertion(<{U}nation/' || s_nationkey || '> {_S})',
+  'ObjectPropertyAssertion(<{U}in> {_S} <{U}nation/' || s_nationkey || '>)', 'NegativeObjectPropertyAssertion(<{U}in> {_S} <{U}nation/' || (s_nationkey + 1) || '>)',
+  'DataPropertyAssertion(<{U}key> {_S} "' || s_suppkey || '"^^<{t.XSD}integer>)', 'DifferentIndividuals({_S} <{U}supplier/' || (s_suppkey + 1) || '>)']) FROM supplier
+UNION ALL SELECT unnest([{', '.join(f"'{x}'" for x in _FIXED)}])""")
+def built_axioms(spark, d):
+    return defined(spark, d).axioms.select("text")

@@ -129,9 +129,13 @@ def prefer_standard_terms(*references: DataFrame) -> Rule:
         by_name = own.filter(usable(F.col("local"))).join(best, (own["kind"] == best["kind"]) & (own["local"] == best["key"])).select(own["kind"], "iri", F.lit(0).alias("how"), F.col("text"), "best")
         by_label = own.filter(usable(F.col("label")) & (F.col("label") != F.col("local"))).join(best, (own["kind"] == best["kind"]) & (own["label"] == best["key"])).select(own["kind"], "iri", F.lit(1).alias("how"), F.col("text"), "best")
         hit = by_name.unionByName(by_label).groupBy("kind", "iri").agg(F.min_by(F.struct("how", "text", "best"), "how").alias("m")).select("kind", "iri", "m.*")
+        hit = hit.withColumn("other", F.col("best.other"))
+        # axioms that mention both of a pair: each side by itself, then the pair by axiom
         m = o.mentions().select("idx", "kind", "iri").distinct()
-        related = m.join(m.select("idx", F.col("iri").alias("other")).distinct(), "idx").select("kind", "iri", "other").distinct()
-        hit = hit.withColumn("other", F.col("best.other")).join(related, ["kind", "iri", "other"], "left_anti")
+        here = m.join(hit.select("kind", "iri", "other"), ["kind", "iri"])
+        there = m.select("idx", F.col("iri").alias("other")).distinct().join(hit.select("other").distinct(), "other", "left_semi")
+        related = here.join(there, ["idx", "other"]).select("kind", "iri", "other").distinct()
+        hit = hit.join(related, ["kind", "iri", "other"], "left_anti")
         how = F.when(F.col("how") == 0, F.lit("has the name of")).otherwise(F.concat(F.lit("is labelled like ")))
         return _found(hit, F.col("iri"), F.concat(F.lower(_kind_name()), F.lit(" "), names.written(F.col("iri"), o.prefixes), F.lit(" "), how, F.lit(" "), F.col("best.name")))
 

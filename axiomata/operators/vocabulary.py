@@ -11,6 +11,7 @@ from axiomata.functions import names
 from axiomata.functions import terms as t
 from axiomata.model import Ontology
 from axiomata.operators import asserted
+from axiomata.sources import ofn
 
 #: Order and headings of listings.
 HEADINGS = ((t.CLASS, "Classes"), (t.OBJECT, "Object properties"), (t.DATA, "Data properties"), (t.ANNOTATION, "Annotation properties"), (t.INDIVIDUAL, "Individuals"), (t.DATATYPE, "Datatypes"))
@@ -95,6 +96,18 @@ class Vocabulary:
         if rows:
             raise ValueError("not in the vocabulary: " + ", ".join(f"{t.KINDS[r['kind']]} {r['iri']}" for r in rows))
 
+    def parse_axiom(self, text: str) -> tuple[t.Term, tuple[t.Term, ...]]:
+        """Read one axiom and refuse it (ValueError) where it names what the vocabulary does not have."""
+        own = ofn.parse_axiom(text, self.prefixes)
+        self.require(Ontology.of(self.terms.sparkSession, [own]))
+        return own
+
+    def parse_class(self, text: str) -> t.Term:
+        """Read one class expression and refuse it (ValueError) where it names what the vocabulary does not have."""
+        own = ofn.parse_class(text, self.prefixes)
+        self.require(Ontology.of(self.terms.sparkSession, [t.make("SubClassOf", own, t.cls(t.THING))]))
+        return own
+
     def listing(self) -> DataFrame:
         """(section, place, heading, line): the terms as text, to be ordered by section and place."""
         section = F.create_map(*[F.lit(x) for i, (k, _) in enumerate(HEADINGS) for x in (k, i)])

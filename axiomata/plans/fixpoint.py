@@ -1,13 +1,15 @@
 """Fixpoints as driver loops over distributed deltas.
 
 Every round joins only what the last round found (semi-naive), drops what is
-known with an anti join and cuts the lineage by a checkpoint in the folder that
-the cluster names, so lost executors cost one round and plans stay small.
+known with an anti join and cuts the lineage by a table written to the folder that
+the cluster names, so lost executors cost one round and plans stay small. Tables have known sizes:
+small sides of joins are broadcast under Spark's own threshold, which checkpoints of RDDs never are.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from functools import reduce
@@ -16,22 +18,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Checkpointed deltas that a fixpoint reads side by side before it merges them.
+#: Tables of deltas that a fixpoint reads side by side before it merges them.
 PARTS = 6
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset a new local folder, which only a local master may use."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not root and held.isDefined():
+        root = held.get()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="axiomata-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder is ``spark.checkpoint.dir``, or a new local one where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="axiomata-"))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read back; :func:`forget` deletes it."""
+    at = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`checkpointed` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
 def loop_settings(spark: SparkSession):
-    """Constraint propagation off: over unions of checkpoints it costs time and has given wrong plans."""
+    """Constraint propagation off: over unions of many tables it costs time and has given wrong plans."""
     key = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, "false")
@@ -66,7 +89,9 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFr
                 return known
             parts.append(delta)
             if len(parts) > PARTS:
-                parts = [checkpointed(reduce(DataFrame.unionByName, parts))]
+                merged = checkpointed(reduce(DataFrame.unionByName, parts))
+                forget(*parts[:-1])  # the last one is still the delta
+                parts = [merged]
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
@@ -112,11 +137,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return checkpointed(joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(back).filter("a <> b").distinct())
 
     with loop_settings(edges.sparkSession):
-        e, last = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()), None
+        e = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
         while True:
-            e = star(star(e, True), False)
-            now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
-            if now == last:
+            grown = star(e, True)
+            nxt = star(grown, False)
+            # settled when no edge is new and none is gone
+            same = nxt.count() == e.count() and nxt.join(e, ["a", "b"], "left_anti").isEmpty()
+            forget(grown, e)
+            e = nxt
+            if same:
                 break
-            last = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
