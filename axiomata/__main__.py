@@ -20,11 +20,18 @@ def _load(spark: SparkSession, path: str) -> Ontology:
         raise SystemExit(f"{path}: {e}") from None
 
 
-def _show(found, fail_on: str) -> int:
+def _show(o: Ontology, found, a) -> int:
+    """Print the findings, as text or JSON; those in the table ``--seen`` are left out. The exit status."""
+    if a.seen:
+        found = lint.unseen(found, found.sparkSession.read.schema("rule string, subject string, message string").json(a.seen))
+    if a.json:
+        print(reports.findings_report(o, found).first()["report"])
+        highest = lint.worst(found)
+        return int(highest is not None and highest >= lint.severity(a.fail_on))
     rows = lint.sort_findings(found).collect()
     for r in rows:
         print(f"{lint.SEVERITIES[r['severity']]}: {r['rule']}: {r['message']}")
-    return int(any(r["severity"] >= lint.severity(fail_on) for r in rows))
+    return int(any(r["severity"] >= lint.severity(a.fail_on) for r in rows))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,16 +48,17 @@ def parser() -> argparse.ArgumentParser:
 
     level = {"default": "error", "choices": lint.SEVERITIES}
     yes = {"action": "store_true"}
-    command("lint", "file", disable={"default": ""}, fail_on=level)
+    seen = {"default": "", "metavar": "FILE"}
+    command("lint", "file", disable={"default": ""}, fail_on=level, seen=seen)
     command("rules")
     command("diff", "before", "after", summary=yes, exit_code=yes)
     command("profile", "file", verbose=yes)
     command("fmt", "file", canonical=yes)
     command("stats", "file")
     command("classify", "file", axioms=yes, explain={"nargs": 2, "metavar": ("SUB", "SUPER")}, unsatisfiable=yes, fail_on_incoherent=yes)
-    command("plan", "plan", "before", invariants={"default": ""}, fail_on=level)
-    command("conform", "plan", "before", "after", fail_on=level)
-    command("invariants", "invariants", "module", fail_on=level)
+    command("plan", "plan", "before", invariants={"default": ""}, fail_on=level, seen=seen)
+    command("conform", "plan", "before", "after", fail_on=level, seen=seen)
+    command("invariants", "invariants", "module", fail_on=level, seen=seen)
     command("triples", "file", syntax={"default": "turtle", "choices": tuple(rdf.PARSERS)}, base={"default": ""})
     return p
 
@@ -72,11 +80,11 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             return 2
         o = _load(spark, a.file)
         found = lint.run(o, rules)
-        if a.json:
+        if a.json and not a.seen:
             tell(reports.lint_report(o, found))
             worst = lint.worst(found)
             return int(worst is not None and worst >= lint.severity(a.fail_on))
-        return _show(found, a.fail_on)
+        return _show(o, found, a)
     if a.command == "diff":
         x, y = _load(spark, a.before), _load(spark, a.after)
         if a.json:
@@ -122,11 +130,13 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         found = conform.review_plan(plan, before)
         if a.invariants:
             found = found.unionByName(conform.review_invariants(_load(spark, a.invariants), plan, before))
-        return _show(found, a.fail_on)
+        return _show(before, found, a)
     if a.command == "conform":
-        return _show(conform.conform(_load(spark, a.plan), _load(spark, a.before), _load(spark, a.after)), a.fail_on)
+        after = _load(spark, a.after)
+        return _show(after, conform.conform(_load(spark, a.plan), _load(spark, a.before), after), a)
     if a.command == "invariants":
-        return _show(conform.check_invariants(_load(spark, a.invariants), _load(spark, a.module)), a.fail_on)
+        module = _load(spark, a.module)
+        return _show(module, conform.check_invariants(_load(spark, a.invariants), module), a)
     for r in rdf.ntriples(rdf.read(spark, a.file, a.syntax, a.base)).orderBy("doc", "pos").collect():
         print(r["line"])
     return 0

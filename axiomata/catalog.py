@@ -137,9 +137,9 @@ def super_classes(spark, d):
     return asserted.super_classes(places(spark, d))
 
 
-@query(f"WITH {_PLACES} SELECT super, count(*) AS n FROM e GROUP BY super")
+@query(f"WITH {_PLACES} SELECT super, sub FROM e")
 def sub_classes(spark, d):
-    return asserted.sub_classes(places(spark, d)).groupBy("super").agg(F.count("*").alias("n"))
+    return asserted.sub_classes(places(spark, d)).select("super", "sub")
 
 
 @query(f"WITH RECURSIVE {_PLACES}, {_CLOSURE} SELECT sub AS cls, super AS ancestor FROM c WHERE sub <> super")
@@ -838,3 +838,77 @@ UNION ALL SELECT unnest(['Declaration(NamedIndividual({_S}))', 'AnnotationAssert
 UNION ALL SELECT unnest([{', '.join(f"'{x}'" for x in _FIXED)}])""")
 def built_axioms(spark, d):
     return defined(spark, d).axioms.select("text")
+
+
+_FILLED = f"""SELECT n_nationkey::VARCHAR AS onto, replace(replace(replace(replace(replace(tpl, '$a', '<{U}nation/' || n_nationkey || '>'), '$b', '<{U}b/' || n_nationkey || '>'), '$c', '<{U}c/' || n_nationkey || '>'), '$n', n_nationkey::VARCHAR), '$m', n_name) AS text
+FROM nation, (VALUES {_texts()}) AS v(tpl, n)"""
+
+
+@query(_FILLED)
+def parsed_constructs(spark, d):
+    """Every construct read from documents in functional syntax and written again."""
+    nation = table(spark, d, "nation")
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    lines = F.array(*[F.lit(text) for _, text, _ in constructs(_NoColumn)])
+    filled = F.transform(lines, lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("$a"), cat(f"<{U}nation/", key, ">")), F.lit("$b"), cat(f"<{U}b/", key, ">")), F.lit("$c"), cat(f"<{U}c/", key, ">")), F.lit("$n"), key), F.lit("$m"), name))
+    docs = nation.select(key.alias("onto"), F.concat(F.lit(f"Ontology(<{U}o>\n"), F.array_join(filled, "\n"), F.lit("\n)")).alias("doc"))
+    return ofn.parse_column(docs, "onto", "doc").select("onto", "text")
+
+
+@query(f"""WITH n AS (SELECT n_nationkey::VARCHAR AS doc, n_name AS name, n_regionkey AS r FROM nation)
+SELECT doc, '{U}n' || doc AS s, '{t.RDF}type' AS p, '{t.OWL}Class' AS o, NULL AS lang FROM n UNION ALL SELECT doc, '{U}n' || doc, '{t.RDFS}label', name, 'en' FROM n
+UNION ALL SELECT doc, '{U}n' || doc, '{U}code', doc, NULL FROM n UNION ALL SELECT doc, '{U}n' || doc, '{t.RDFS}subClassOf', '{U}r' || r, NULL FROM n
+UNION ALL SELECT doc, '{U}n' || doc, '{U}in', '{U}p' || doc, NULL FROM n UNION ALL SELECT doc, '{U}p' || doc, '{t.RDF}type', '{U}Place', NULL FROM n UNION ALL SELECT doc, '{U}p' || doc, '{U}name', name, NULL FROM n""")
+def rdf_xml_triples(spark, d):
+    """RDF/XML with typed nodes, property attributes, nested nodes, languages and datatypes."""
+    n, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    text = F.concat(
+        F.lit(f'<?xml version="1.0"?><rdf:RDF xmlns:rdf="{t.RDF}" xmlns:rdfs="{t.RDFS}" xmlns:owl="{t.OWL}" xmlns:x="{U}"><owl:Class rdf:about="{U}n'), n, F.lit('"><rdfs:label xml:lang="en">'), F.col("n_name"),
+        F.lit(f'</rdfs:label><x:code rdf:datatype="{t.XSD}string">'), n, F.lit(f'</x:code><rdfs:subClassOf rdf:resource="{U}r'), r, F.lit(f'"/><x:in><x:Place rdf:about="{U}p'), n, F.lit('" x:name="'), F.col("n_name"), F.lit('"/></x:in></owl:Class></rdf:RDF>'),
+    )
+    found = rdf.parse_column(table(spark, d, "nation").select(n.alias("key"), text.alias("text")), "key", "text", "xml")
+    return found.select("doc", F.col("s.text").alias("s"), "p", F.col("o.text").alias("o"), F.col("o.lang").alias("lang"))
+
+
+@query(f"""SELECT 'SubClassOf(<{U}nation/' || n_nationkey || '> <{U}region/' || n_regionkey || '>)' AS text FROM nation UNION SELECT 'SubClassOf(<{U}supplier/' || s_suppkey || '> <{U}nation/' || s_nationkey || '>)' FROM supplier
+UNION SELECT 'SubClassOf(<{U}part/' || p_partkey || '> <{U}part/' || (p_partkey // 2) || '>)' FROM part WHERE p_partkey > 0""")
+def merged(spark, d):
+    return diff.merge(f"{U}all", places(spark, d), halving(spark, d), places(spark, d)).axioms.select("text")
+
+
+def links(spark: SparkSession, d: str) -> Ontology:
+    """Suppliers in nations, nations that are empty in region 0; a role below another and one below nothing."""
+    a = Ontology.from_columns(table(spark, d, "supplier"), F.col("s_suppkey"), t.make("SubClassOf", cls("supplier", "s_suppkey"), t.some(_p("in"), cls("nation", "s_nationkey"))))
+    b = Ontology.from_columns(table(spark, d, "nation").filter("n_regionkey = 0"), F.col("n_nationkey"), t.make("SubClassOf", cls("nation", "n_nationkey"), t.cls(t.NOTHING)))
+    c = Ontology.of(spark, [t.make("SubObjectPropertyOf", _p("in"), _p("near")), t.make("SubClassOf", t.some(_p("near"), t.cls(t.THING)), t.cls(f"{U}Placed"))])
+    return a.add(b, c, step=STEP)
+
+
+@query(f"""SELECT '{U}supplier/' || s_suppkey AS iri FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0 UNION SELECT '{U}nation/' || n_nationkey FROM nation WHERE n_regionkey = 0""")
+def el_empty_through_links(spark, d):
+    """A class that is linked to an empty one is empty."""
+    return el.classify(links(spark, d)).unsatisfiable()
+
+
+@query(f"SELECT '{U}supplier/' || s_suppkey AS sub, '{U}Placed' AS super FROM supplier")
+def el_roles_below_roles(spark, d):
+    """Links of a role are links of the roles above it."""
+    return el.classify(links(spark, d)).subsumptions().filter(F.col("super") == f"{U}Placed").filter(F.col("sub").startswith(f"{U}supplier/"))
+
+
+@query(f"""WITH RECURSIVE {_PLACES}, {_CLOSURE}, q AS (SELECT sub, super FROM e UNION SELECT super, sub FROM e UNION SELECT '{U}supplier/' || s_suppkey, '{U}region/0' FROM supplier UNION SELECT '{U}unknown', '{U}region/0' UNION SELECT '{U}unknown', '{t.THING}')
+SELECT q.sub, q.super FROM q WHERE super = '{t.THING}' OR EXISTS (SELECT 1 FROM c WHERE c.sub = q.sub AND c.super = q.super)""")
+def el_is_subsumed(spark, d):
+    o = places(spark, d)
+    e = asserted.super_classes(o).select("sub", "super")
+    asked = e.unionByName(e.select(F.col("super").alias("sub"), F.col("sub").alias("super"))).unionByName(table(spark, d, "supplier").select(iri("supplier", "s_suppkey").alias("sub"), F.lit(f"{U}region/0").alias("super")))
+    asked = asked.unionByName(spark.createDataFrame([(f"{U}unknown", f"{U}region/0"), (f"{U}unknown", t.THING)], "sub string, super string"))
+    return el.classify(o).is_subsumed(asked)
+
+
+@query(f"""SELECT 'SubClassOf(<{U}supplier/' || s_suppkey || '> <{U}nation/' || s_nationkey || '>)' AS text FROM supplier UNION SELECT 'SubClassOf(<{U}nation/' || n_nationkey || '> <{U}region/' || n_regionkey || '>)' FROM nation
+UNION SELECT 'SubClassOf(<{U}region/' || n_regionkey || '> <{t.THING}>)' FROM nation UNION SELECT 'EquivalentClasses(<{U}same/' || n_nationkey || '> <{U}twin/' || n_nationkey || '>)' FROM nation
+UNION SELECT 'SubClassOf(<{U}' || k || '/' || n_nationkey || '> <{t.THING}>)' FROM nation, (VALUES ('same'), ('twin')) AS v(k)""")
+def el_inferred(spark, d):
+    twins = Ontology.from_columns(table(spark, d, "nation"), F.col("n_nationkey"), t.make("EquivalentClasses", cls("twin", "n_nationkey"), cls("same", "n_nationkey")))
+    return el.classify(places(spark, d).add(twins, step=STEP)).inferred()
