@@ -4,7 +4,13 @@ Each text's set of hashed shingles has 28 bands of five minima. Sets that
 share a band are candidates, and all shingles of both decide (two sets of
 similarity 0.8 share no band with probability 2e-5). Members of a band are
 first compared with its least member; pairs that this has linked, directly or
-through others, need no comparison, all others are compared.
+through others, need no comparison. Bands that still hold several classes may be
+large groups of copies too loose to link, whose pairs grow with the square of the
+group. Their sets are joined by prefixes instead: with shingles in the order of
+their frequency, two similar sets meet early in both, where loose copies hold
+only shingles of their own. Sets that meet at a shingle are first compared with that
+which has it earliest (the centre of the group), then those not linked by this
+with each other. That finds all similar pairs of these sets.
 """
 
 from __future__ import annotations
@@ -72,6 +78,39 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, sig long, bands array<long>, shingles array<int>")
 
 
+def prefixes(known: DataFrame, sets: DataFrame, scratch: Scratch, similar: float) -> DataFrame:
+    """(sig, n, p, e): the shingles e at which a set of n shingles may meet a similar one, p its place from 0, rarest first.
+
+    ``known`` has one row (sig, n) a set, ``sets`` their (sig, shingles).
+    """
+    each = sets.join(known, "sig", "left_semi").select("sig", F.explode("shingles").alias("e"))
+    often = scratch.keep(each.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    # shingles of one set alone come first and meet nothing: only their number counts
+    order = each.join(often, "e").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("shared"))
+    first = F.floor((1 - F.lit(similar)) * F.col("n") + 1e-9) + 1
+    alone = F.col("n") - F.size("shared")
+    lead = known.join(order, "sig").select("sig", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first - alone).cast("int"))).alias("i", "s"))
+    return scratch.keep(lead.select("sig", "n", (F.col("alone") + F.col("i")).alias("p"), F.col("s.e").alias("e")), "prefixes")
+
+
+def _enough(similar: float):
+    """Whether sets of n and m shingles whose first common one is at p and q may be similar: all they share is among the n - p and m - q from there."""
+    return F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= F.lit(similar / (1 + similar)) * (F.col("n") + F.col("m")) - 1e-9
+
+
+def centre_pairs(lead: DataFrame, similar: float) -> DataFrame:
+    """Candidates (a, n, b, m) of each set of :func:`prefixes` with the set that has one of its shingles earliest."""
+    centre = lead.groupBy("e").agg(F.min(F.struct("p", "sig", "n")).alias("c")).select("e", F.col("c.sig").alias("b"), F.col("c.n").alias("m"), F.col("c.p").alias("q"))
+    return lead.join(centre, "e").filter((F.col("sig") != F.col("b")) & _enough(similar)).select(F.col("sig").alias("a"), "n", "b", "m")
+
+
+def class_pairs(lead: DataFrame, similar: float) -> DataFrame:
+    """Candidates (a, n, b, m), repeats included, that hold every similar pair of different ``class`` of :func:`prefixes`."""
+    other = lead.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("class").alias("of"), F.col("p").alias("q"), F.col("e").alias("at"))
+    meet = (F.col("e") == F.col("at")) & (F.col("sig") < F.col("b")) & (F.col("class") != F.col("of")) & _enough(similar)
+    return lead.join(other, meet).select(F.col("sig").alias("a"), "n", "b", "m")
+
+
 def set_links(wide: DataFrame, scratch: Scratch, similar: float) -> DataFrame:
     """Links (a, b) of fingerprints whose components join all sets at ``similar`` or more; ``wide`` as of :func:`features`."""
     held = wide.filter(F.size("shingles") > 0)
@@ -92,13 +131,18 @@ def set_links(wide: DataFrame, scratch: Scratch, similar: float) -> DataFrame:
 
     star = banded.filter(F.col("sig") != F.col("hub.sig")).select(F.col("sig").alias("a"), "n", F.col("hub.sig").alias("b"), F.col("hub.n").alias("m"))
     links = verified(star, "stars")
-    classes = connected_components(links, scratch)
-    known = banded.filter(F.col("sig") != F.col("hub.sig")).select("band", "sig", "n")
-    known = known.join(classes, F.col("sig") == F.col("node"), "left").select("band", "sig", "n", F.coalesce("root", "sig").alias("class"))
-    known = scratch.keep(known, "known")
-    other = known.select(F.col("band").alias("at"), F.col("sig").alias("b"), F.col("n").alias("m"), F.col("class").alias("of"))
-    rest = known.join(other, (F.col("band") == F.col("at")) & (F.col("sig") < F.col("b")) & (F.col("class") != F.col("of"))).select(F.col("sig").alias("a"), "n", "b", "m")
-    links = links.unionByName(verified(rest, "rest"))
+
+    def classed(some: DataFrame) -> DataFrame:
+        classes = connected_components(links, scratch)
+        return some.join(classes, F.col("sig") == F.col("node"), "left").select(*some.columns, F.coalesce("root", "sig").alias("class"))
+
+    known = scratch.keep(classed(banded.filter(F.col("sig") != F.col("hub.sig")).select("band", "sig", "n")), "known")
+    mixed = known.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("band")
+    mixed = scratch.keep(known.join(mixed, "band", "left_semi").select("sig", "n").distinct(), "mixed")
+    early = prefixes(mixed, sets, scratch, similar)
+    links = links.unionByName(verified(centre_pairs(early, similar), "centres"))
+    early = scratch.keep(classed(early), "early")
+    links = links.unionByName(verified(class_pairs(early, similar), "rest"))
     by = lambda c: lead.select(F.col("sig").alias(c), F.col("lead").alias(f"lead_{c}"))
     named = links.join(by("a"), "a").join(by("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
     # equal sets may have several fingerprints
