@@ -7,6 +7,7 @@ import itertools
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -814,6 +815,25 @@ def test_lm_scores_over_many_shards(spark):
     assert got.sort_index().equals(again.sort_index())
 
 
+def test_lm_shards_are_packed_and_never_cut(spark):
+    assert lmscore.packed([], 10) == [] and lmscore.packed([(3, 4), (1, 5)], 10) == [(1, 0), (3, 0)]
+    draw = random.Random(4)
+    for n in (5, 40, 300):
+        loads = {s: int(draw.paretovariate(1.2)) for s in range(n)}
+        found = dict(lmscore.packed(list(loads.items()), 20))
+        size = {k: [loads[s] for s in found if found[s] == k] for k in set(found.values())}
+        assert set(found) == set(loads) and set(size) == set(range(len(size)))
+        assert len(size) == 1 or all(sum(v) >= 20 for v in size.values())
+    size = Counter(dict(lmscore.packed([(s, 2) for s in range(105)], 20)).values())
+    assert len(size) == 10 and set(size.values()) <= {10, 11}
+    # texts of one size under keys of their own: what is left of a cut shard was a small reference
+    rows = [(i, " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(60))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["reference_words"] for r in lmscore.lm_scores(spark, docs, shard_bytes=3000).collect()]
+    least = 3000 * 60 * 900 / sum(len(t) for _, t in rows) - 60
+    assert len(got) == 900 and min(got) > least - 60 and max(got) < 2 * least + 120
+
+
 def test_attach_splits_large_groups(spark):
     from axiomata.llm.attach import attach
 
