@@ -72,6 +72,20 @@ def _flips(bits: int, within: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in found]
 
 
+def _half_balls(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, half, variant, centre): both halves of each fingerprint and their variants within half the radius.
+
+    A fingerprint of 8 bytes gives 66 rows, so the one or two files that hold
+    millions of them would be one or two tasks with all the rows; they are dealt out first.
+    """
+    masks = [0, *_flips(32, radius // 2)]
+    mask, half = F.lit(masks).cast("array<long>"), F.lit([0, 1])
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    balls = spread.select("fp", F.explode(half).alias("half")).select("fp", "half", F.explode(mask).alias("mask"))
+    own = F.when(F.col("half") == 1, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return balls.select("fp", "half", own.bitwiseXOR(F.col("mask")).alias("variant"), (F.col("mask") == 0).alias("centre"))
+
+
 def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, dense: int = 512) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs within ``radius`` bits.
 
@@ -80,11 +94,7 @@ def near_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, dense: in
     """
     if not 0 <= radius <= 3:
         raise ValueError("the radius is 0 to 3")
-    masks = [0, *_flips(32, radius // 2)]
-    mask, half = F.lit(masks).cast("array<long>"), F.lit([0, 1])
-    balls = fps.select("fp", F.explode(half).alias("half")).select("fp", "half", F.explode(mask).alias("mask"))
-    own = F.when(F.col("half") == 1, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    balls = balls.select("fp", "half", own.bitwiseXOR(F.col("mask")).alias("variant"), (F.col("mask") == 0).alias("centre"))
+    balls = _half_balls(fps, radius)
     crowd = balls.groupBy("variant", "half").agg(F.count("*").alias("n"), F.max("centre").alias("met")).filter("n > 1 and met")
     crowd = scratch.keep(crowd, "variants")
     balls = scratch.keep(balls.join(crowd, ["variant", "half"]), "balls")

@@ -15,6 +15,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from axiomata.llm import ann, decontam, langid, licenses, lmscore, mixing, quality, queries, shingles, simhash, tokens, warc
 from axiomata.llm.components import connected_components
@@ -371,6 +372,17 @@ def test_components_of_a_long_path(spark):
     assert len(got) == 303 and set(got.values()) == {0, 500} and got[501] == 500
 
 
+def test_variants_of_one_file_are_made_in_many_tasks(spark):
+    draw = random.Random(8)
+    own = {0, -1, *(draw.getrandbits(64) - (1 << 63) for _ in range(298))}
+    fps = spark.createDataFrame([(f,) for f in own], "fp long").coalesce(1)
+    balls = simhash._half_balls(fps, 3).withColumn("task", F.spark_partition_id())
+    tasks = {r["task"]: r["count"] for r in balls.groupBy("task").count().collect()}
+    assert sum(tasks.values()) == 66 * len(own)
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(tasks.values()) < 66 * len(own) // 2
+    assert {r["fp"]: r["count"] for r in balls.distinct().groupBy("fp").count().collect()} == dict.fromkeys(own, 66)
+
+
 def test_deduplicate_keeps_columns_and_leaders(spark, odd):
     got = simhash.deduplicate(spark, odd)
     assert got.columns == odd.columns
