@@ -13,7 +13,7 @@ from axiomata.functions import names
 from axiomata.functions import terms as t
 from axiomata.model import Ontology
 from axiomata.operators import asserted, diff
-from axiomata.plans.fixpoint import closure
+from axiomata.plans.fixpoint import checkpointed, strong_components
 
 INFO, WARNING, ERROR = 0, 1, 2
 SEVERITIES = ("info", "warning", "error")
@@ -94,10 +94,10 @@ def subclass_cycle(o: Ontology) -> DataFrame:
     component does not.
     """
     edges = asserted.named_subclasses(o).select("sub", "super").filter("sub <> super").distinct()
-    reach = closure(edges, "sub", "super")
-    back = reach.select(F.col("sub").alias("super"), F.col("super").alias("sub"))
-    mates = reach.join(back, ["sub", "super"]).groupBy("sub").agg(F.array_sort(F.collect_set("super")).alias("rest"))
-    rings = mates.select(F.array_sort(F.array_append("rest", F.col("sub"))).alias("ring")).distinct()
+    groups = strong_components(checkpointed(edges.select(F.col("sub").alias("src"), F.col("super").alias("dst"))))
+    if groups is None:
+        return o.axioms.sparkSession.createDataFrame([], "subject string, message string, idx long")
+    rings = groups.groupBy("root").agg(F.array_sort(F.collect_list("node")).alias("ring"))
     shown = F.transform("ring", lambda c: names.written(c, o.prefixes))
     path = F.array_join(F.concat(shown, F.slice(shown, 1, 1)), " -> ")
     return _found(rings, F.element_at("ring", 1), F.concat(F.lit("classes below each other: "), path))

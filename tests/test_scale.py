@@ -51,3 +51,8 @@ def test_components_by_rounds_and_on_the_driver(spark, monkeypatch, local):
     for r in got:
         groups.setdefault(r["root"], set()).add(r["node"])
     assert sorted(map(sorted, groups.values())) == [["a", "b", "c", "d"], ["p", "q"], ["x", "y", "z"]]
+
+def test_cycle_findings_without_pairs(spark, written):
+    found = lint.subclass_cycle(below(spark, RING)).collect()
+    assert [r["subject"] for r in found] == ["urn:t:r00"]
+    assert found[0]["message"].count(" -> ") == 40 and written and max(written) <= 2 * 40  # the pairs are 1560
