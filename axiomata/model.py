@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from axiomata.functions import names
 from axiomata.functions import terms as t
 from axiomata.functions.terms import AXIOM, Term
+from axiomata.plans.fixpoint import checkpointed
 
 
 @dataclass(frozen=True)
@@ -150,10 +151,11 @@ def ranked(df: DataFrame, *by: str) -> DataFrame:
     """``df`` with ``idx`` replaced by the rank in the given order, from 0.
 
     A range sort and the sizes of its partitions, so no single task sees all
-    rows (a window without partitions would).
+    rows (a window without partitions would). The sorted rows are written with their
+    places: another run of the sort draws other bounds, which the sizes do not fit.
     """
     ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__own", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("__part", F.shiftright("__own", 33))
+    ordered = checkpointed(ordered.withColumn("__part", F.shiftright("__own", 33)))
     sizes = sorted((r["__part"], r["n"]) for r in ordered.groupBy("__part").agg(F.count("*").alias("n")).collect())  # one row a partition
     starts, total = [], 0
     for part, n in sizes:

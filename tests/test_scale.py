@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from axiomata.functions import terms as t
-from axiomata.model import Ontology
-from axiomata.operators import asserted, lint
+from axiomata.model import Ontology, ranked
+from axiomata.operators import asserted, diff, el, icv, lint
 from axiomata.plans import fixpoint
 
 
@@ -56,3 +56,37 @@ def test_cycle_findings_without_pairs(spark, written):
     found = lint.subclass_cycle(below(spark, RING)).collect()
     assert [r["subject"] for r in found] == ["urn:t:r00"]
     assert found[0]["message"].count(" -> ") == 40 and written and max(written) <= 2 * 40  # the pairs are 1560
+
+
+def test_ranks_fit_one_sort(spark):
+    n = 150_000
+    got = ranked(spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("text"), F.col("id").alias("idx")).repartition(16), "text", "idx").select("text", "idx").collect()
+    assert [r["text"] for r in sorted(got, key=lambda r: r["idx"])] == sorted(r["text"] for r in got)
+    assert sorted(r["idx"] for r in got) == list(range(n))
+
+
+def test_merge_carries_only_what_is_read(spark):
+    o = below(spark, [("a", "b"), ("a", "b"), ("b", "c")])
+    texts = diff.merge("urn:t:all", o, o).axioms.select("text")
+    assert "nodes" not in texts._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1].split("\n")[0]
+    assert sorted(r["text"] for r in texts.collect()) == ["SubClassOf(<urn:t:a> <urn:t:b>)", "SubClassOf(<urn:t:b> <urn:t:c>)"]
+
+
+def chain_facts(spark, n: int) -> Ontology:
+    return Ontology.of(spark, [t.make("ObjectPropertyAssertion", t.obj("urn:t:half"), t.ind(f"urn:t:{i}"), t.ind(f"urn:t:{i - 1}")) for i in range(1, n)])
+
+
+def test_chains_are_derived_only_to_what_is_asked(spark, monkeypatch):
+    sizes, keep = [], icv.checkpointed
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(icv, "checkpointed", counted)
+    end = t.has(t.obj("urn:t:reaches"), t.ind("urn:t:0"))
+    rules = [t.make("SubObjectPropertyOf", t.obj("urn:t:half"), t.obj("urn:t:reaches")), t.make("TransitiveObjectProperty", t.obj("urn:t:reaches")), t.make("SubClassOf", end, t.neg(end))]
+    found = icv.validate(chain_facts(spark, 41), Ontology.of(spark, rules)).violations.collect()
+    assert {r["subject"]: [f["o"] for f in r["path"]] for r in found} == {f"urn:t:{i}": [f"urn:t:{k}" for k in range(i - 1, -1, -1)] for i in range(1, 41)}
+    assert max(sizes) <= 40 and sum(sizes) <= 40 * 10  # all pairs are 820
