@@ -90,3 +90,20 @@ def test_chains_are_derived_only_to_what_is_asked(spark, monkeypatch):
     found = icv.validate(chain_facts(spark, 41), Ontology.of(spark, rules)).violations.collect()
     assert {r["subject"]: [f["o"] for f in r["path"]] for r in found} == {f"urn:t:{i}": [f"urn:t:{k}" for k in range(i - 1, -1, -1)] for i in range(1, 41)}
     assert max(sizes) <= 40 and sum(sizes) <= 40 * 10  # all pairs are 820
+
+
+def test_stated_rings_take_no_rounds(spark):
+    n = 60
+    o = below(spark, [(f"r{i:02}", f"r{(i + 1) % n:02}") for i in range(n)] + [("low", "r07"), ("r09", "top")])
+    c = el.classify(o, max_rounds=5)  # a ring took one round for each class
+    ring = {f"urn:t:r{i:02}" for i in range(n)}
+    assert {(r["a"], r["b"]) for r in c.equivalents().collect()} == {(a, b) for a in ring for b in ring if a != b}
+    above = {(r["sub"], r["super"]) for r in c.subsumptions().collect()}
+    assert above == {(a, b) for a in ring | {"urn:t:low"} for b in ring if a != b} | {(a, "urn:t:top") for a in ring | {"urn:t:low"}}
+
+
+def test_unsupported_axioms_need_no_saturation(spark):
+    union = t.make("SubClassOf", t.cls("urn:t:a"), t.disj(t.cls("urn:t:b"), t.cls("urn:t:c")))
+    deep = [t.make("SubClassOf", t.cls(f"urn:t:{i}"), t.cls(f"urn:t:{i + 1}")) for i in range(5)]
+    c = el.classify(Ontology.of(spark, [union, *deep]), max_rounds=1)
+    assert [r["kind"] for r in c.unsupported().select("kind").collect()] == ["SubClassOf"]
