@@ -181,10 +181,11 @@ def strong_components(edges: DataFrame) -> DataFrame | None:
                 groups = checkpointed(reduce(DataFrame.unionByName, found, spark.createDataFrame(rows, f"node {node}, root {node}")))
                 break
             inner = checkpointed(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            nxt, bridged = _bridged(inner, turn)
+            left = inner.count()
+            nxt, bridged = (inner, None) if left < 0.9 * size else _bridged(inner, turn)  # bushy graphs are gone before they need bridges
             if bridged is not None:
                 log.append(bridged)
-            elif inner.count() == size:
+            elif left == size:
                 ring = _coloured(inner)
                 found.append(ring)
                 nxt = checkpointed(inner.join(ring.select(F.col("node").alias("src")), "src", "left_anti").join(ring.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
